@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from playlake.llm import exact_dedup as dedup
-from playlake.llm import langid, packing
+from playlake.llm import langid, packing, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(spark, _documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that earlier passages repeat, and the digest of what is kept."""
+    out = substring_dedup.remove_repeats(spark, _documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence and offset."""
     return packing.pack_documents(spark, _documents(spark, sf_dir), tokenizer_path())
@@ -41,5 +48,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language_id": op5_language_id,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
 }
