@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlake.llm import exact_dedup as dedup
-from playlake.llm import langid, packing, substring_dedup
+from playlake.llm import langid, ngram_join, packing, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(spark, _documents(spark, sf_dir))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity class of each document."""
+    return ngram_join.similarity_classes(spark, _documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that earlier passages repeat, and the digest of what is kept."""
     out = substring_dedup.remove_repeats(spark, _documents(spark, sf_dir))
@@ -48,6 +53,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language_id": op5_language_id,
+    "op7_ngram_join": op7_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
 }
