@@ -4,6 +4,9 @@ from __future__ import annotations
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Characters that the chat template adds to a text: one per backslash and per control string.
+_ESCAPED = "length(regexp_replace(replace({0}, chr(92), chr(92) || chr(92)), '(<|\\[)(/?(?:s>|INST\\]))', '\\1' || chr(1) || '\\2', 'g'))"
+
 SQL: dict[str, str] = {
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS body FROM documents)
@@ -11,4 +14,16 @@ SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER g AS kept, sha256(body) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY body)
     """,
+    "op10_chat_formatting": f"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               (3 + sum(17 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}))::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id
+    """,
 }
