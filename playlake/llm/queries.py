@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlake.llm import chat, decontamination
 from playlake.llm import exact_dedup as dedup
-from playlake.llm import langid, ngram_join, packing, substring_dedup
+from playlake.llm import langid, ngram_join, packing, pii, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,25 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(spark, _documents(spark, sf_dir))
 
 
+def _span_list(spans: Column) -> Column:
+    """Spans (order, start, stop, kind) as kind:start:stop, in order, comma-joined."""
+    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+
+def _count_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document."""
+    out = pii.find_personal_data(spark, _documents(spark, sf_dir))
+    spans = F.transform("spans", lambda s: F.struct(pii.kind_order(s["kind"]).alias("order"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["is_base"].alias("is_base")))
+    base = F.filter(F.col("every"), lambda s: s["is_base"])
+    counts = [_count_kind(F.col("base"), k) for k in pii.BASE]
+    out = out.withColumn("every", spans).withColumn("base", base)
+    return out.select("doc_id", *counts, F.sha2(_span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"), _span_list(F.col("every")).alias("spans"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity class of each document."""
     return ngram_join.similarity_classes(spark, _documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
@@ -79,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language_id": op5_language_id,
+    "op6_pii": op6_pii,
     "op7_ngram_join": op7_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
