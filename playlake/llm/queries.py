@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playlake.llm import chat, decontamination
 from playlake.llm import exact_dedup as dedup
-from playlake.llm import langid, ngram_join, packing, pii, substring_dedup
+from playlake.llm import langid, ngram_join, packing, pii, secret_scan, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,22 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _located(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+
+def _count_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document."""
+    out = secret_scan.scan_secrets(spark, _documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    counts = [_count_kind(F.col("spans"), k) for k in secret_scan.KINDS]
+    return out.select("doc_id", *counts, F.sha2(_located(base).cast("binary"), 256).alias("base_sha256"), _located(F.col("spans")).alias("spans"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that lie in a benchmark item's window."""
     out = decontamination.judge_documents(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -46,10 +62,6 @@ def _span_list(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def _count_kind(spans: Column, kind: str) -> Column:
-    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-
-
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of each document."""
     out = pii.find_personal_data(spark, _documents(spark, sf_dir))
@@ -95,6 +107,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_decontamination": op2_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language_id": op5_language_id,
