@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playlake.llm import chat, decontamination
 from playlake.llm import exact_dedup as dedup
-from playlake.llm import langid, ngram_join, packing, pii, secret_scan, substring_dedup
+from playlake.llm import langid, license_scan, ngram_join, packing, pii, secret_scan, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of each document; spans count words."""
+    out = license_scan.scan_licenses(spark, _documents(spark, sf_dir))
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
+    spans = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["template"].cast("string"), m["start"].cast("string"), m["stop"].cast("string"), F.format_number(m["share"], 4)))
+    return out.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_matches"), F.concat_ws(",", names).alias("licenses"), F.concat_ws(",", spans).alias("spans"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which row of each group of equal documents stays."""
     return dedup.exact_dedup(spark, _documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -109,6 +117,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_decontamination": op2_decontamination,
+    "op3_license_scan": op3_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
