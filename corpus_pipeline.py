@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playlake.llm import exact_dedup, langid, packing
+from playlake.llm import decontamination, exact_dedup, langid, ngram_join, packing
 from playlake.llm.queries import tokenizer_path
 from playlake.llm.scratch import Scratch
 
@@ -23,12 +23,28 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_copies(spark, docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of similar ones."""
+    return ngram_join.drop_near_copies(spark, docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold benchmark passages."""
+    return decontamination.drop_contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into training sequences."""
     return packing.pack_documents(spark, docs, tokenizer_path())
 
 
-STAGES = [("language_id", language_id), ("exact_dedup", exact_copies), ("packing", pack)]
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_copies),
+    ("ngram_join", near_copies),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
 
 #: A trained model decides what the first stage drops, which SQL can't express.
 ORACLE_SQL = None
