@@ -39,7 +39,8 @@ SAMPLE_ROWS = 6_000
 SAMPLE_PER_LANGUAGE = 600
 #: Code points of a text that are held as numbers at once.
 PIECE = 1 << 20
-EPOCHS = 6
+#: Passes over the training rows, and gradient steps, at least.
+EPOCHS, STEPS = 6, 8_000
 RATE = 0.5
 #: Share of the sample that calibrates, and the share of it that the threshold may reject.
 CALIBRATION_SHARE = 0.25
@@ -154,9 +155,10 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     embed = rng.uniform(-1, 1, (BUCKETS, DIMENSION)).astype(np.float32) / DIMENSION
     weight, bias = np.zeros((DIMENSION, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    steps, step = max(1, EPOCHS * len(fit)), 0
+    epochs = max(EPOCHS, -(-STEPS // max(1, len(fit))))
+    steps, step = max(1, epochs * len(fit)), 0
     boost = np.float32(20)  # means of many n-grams move slowly; embeddings learn faster than the softmax
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for i in rng.permutation(len(fit)):
             ids, share, y, _ = fit[i]
             rate = np.float32(RATE * (1 - step / steps))
