@@ -84,9 +84,14 @@ def _normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def _chi_score(x: float, df: float) -> float:
+    """The normal score of a chi-squared value (Wilson and Hilferty's cube root)."""
+    return ((max(x, 0.0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+
+
 def _chi_tail(x: float, df: float) -> float:
-    """Upper tail of the chi-squared distribution (Wilson and Hilferty's cube root)."""
-    return _normal_tail(((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))) if x > 0 else 1.0
+    """Upper tail of the chi-squared distribution."""
+    return _normal_tail(_chi_score(x, df))
 
 
 def chi_squared(places: list[int], size: int) -> float:
@@ -136,7 +141,7 @@ def ordinary_p(places: list[int], size: int) -> float:
     excess = max(0.0, TEXT_SQUARES * size - 1) * n
     x = chi_squared(places, size)
     scale = (df + 2 * excess) / (df + excess)
-    return max(1e-300, 1 - _chi_tail(x / scale, (df + excess) ** 2 / (df + 2 * excess)))
+    return max(1e-300, _normal_tail(-_chi_score(x / scale, (df + excess) ** 2 / (df + 2 * excess))))
 
 
 def mixed_classes(token: str) -> bool:
