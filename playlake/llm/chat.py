@@ -57,24 +57,32 @@ def rooted_paths(spark: SparkSession, messages: DataFrame, scratch: Scratch, bra
     known = nodes.select(F.col("conv_id").alias("c"), F.col("id").alias("p"))
     same = F.col("conv_id").eqNullSafe(F.col("c"))
     linked = nodes.join(known, same & (F.col("parent") == F.col("p")), "left")
-    # way up: `up` is the message 2^k steps above, null beyond the root; `sum` and `steps` cover them
-    ways = [scratch.save(linked.select("conv_id", "id", F.col("p").alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("steps")), "way-0")]
+    # ways[k] has the messages of more than 2^k on their way: `up` is the one 2^k steps above, `sum` and
+    # `steps` cover the steps before it; whoever reaches the root leaves for `ended`
+    step = linked.select("conv_id", "id", F.col("p").alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("steps"))
+    step = scratch.save(step, "step-0")
+    ways, ended = [step.where("up is not null")], [step.where("up is null")]
     limit = nodes.count()
-    while ways[-1].where("up is not null").limit(1).count() and (1 << len(ways)) <= 2 * max(1, limit):
-        last = ways[-1]
-        above = last.select(F.col("conv_id").alias("c"), F.col("id").alias("i"), F.col("up").alias("next"), F.col("sum").alias("more"), F.col("steps").alias("on"))
-        doubled = last.join(above, same & (F.col("up") == F.col("i")), "left").select(
-            "conv_id", "id", F.col("next").alias("up"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"), (F.col("steps") + F.coalesce("on", F.lit(0))).alias("steps")
-        )
-        ways.append(scratch.save(doubled, f"way-{len(ways)}"))
-    rooted = ways[-1].where("up is null").select("conv_id", "id", "sum", F.col("steps").alias("depth"))
+    while ways[-1].limit(1).count() and (1 << len(ways)) <= 2 * max(1, limit):
+        known = ways[-1]
+        for e in ended:
+            known = known.unionByName(e)
+        above = known.select(F.col("conv_id").alias("c"), F.col("id").alias("i"), F.col("up").alias("next"), F.col("sum").alias("more"), F.col("steps").alias("on"))
+        doubled = ways[-1].join(above, same & (F.col("up") == F.col("i"))).select("conv_id", "id", F.col("next").alias("up"), (F.col("sum") + F.col("more")).alias("sum"), (F.col("steps") + F.col("on")).alias("steps"))
+        step = scratch.save(doubled, f"step-{len(ways)}")
+        ways.append(step.where("up is not null"))
+        ended.append(step.where("up is null"))
+    rooted = ended[0]
+    for e in ended[1:]:
+        rooted = rooted.unionByName(e)
+    rooted = rooted.select("conv_id", "id", "sum", F.col("steps").alias("depth"))
     replied = linked.where("p is not null").select(F.col("conv_id").alias("c"), "p").distinct()
     leaves = rooted.join(replied, same & (F.col("id") == F.col("p")), "left_anti")
     best = Window.partitionBy("conv_id").orderBy((F.col("sum") / F.col("depth")).desc(), F.col("depth").desc(), "id")
     chosen = leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
     marked = chosen.select("conv_id", "branch", "id", "depth")
     for k in reversed(range(len(ways) - 1)):  # from a message on the path to the one 2^k above it
-        jump = ways[k].where("up is not null").select(F.col("conv_id").alias("c"), F.col("id").alias("i"), "up")
+        jump = ways[k].select(F.col("conv_id").alias("c"), F.col("id").alias("i"), "up")
         reached = marked.join(jump, same & (F.col("id") == F.col("i"))).select("conv_id", "branch", F.col("up").alias("id"), (F.col("depth") - (1 << k)).alias("depth"))
         marked = scratch.save(marked.unionByName(reached), f"marked-{k}")
     return marked
