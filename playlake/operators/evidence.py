@@ -110,3 +110,55 @@ def frame_phases(windows: DataFrame, snaps: DataFrame) -> DataFrame:
     names = ["unknown", "pre_snap", "snap", "post_snap", "play_end"]
     counted = frames.withColumn("phase", phase).groupBy(*KEYS).agg(*(F.count_if(F.col("phase") == p).alias(p) for p in names))
     return counted.unpivot(KEYS, names, "phase", "n_frames")
+
+
+def play_end(samples: DataFrame, plays: DataFrame) -> DataFrame:
+    """First sustained quiet after sustained motion that follows a known snap, or why there is none.
+
+    `plays` has run_id, play_id, snap_frame and end_frame, the last frame to search. The quiet must
+    leave a play of `MIN_PLAY_FRAMES` frames; its first frame is the end.
+    """
+    windows = closed_windows(plays.withColumn("start_frame", F.col("snap_frame") + 1), samples)
+    searched = motion_evidence(samples, windows)
+    at = Window.partitionBy(*KEYS).orderBy("frame_id")
+    frac, active, quiet = F.col("moving_fraction"), at.rowsBetween(0, SUSTAINED_FRAMES - 1), at.rowsBetween(0, QUIET_FRAMES - 1)
+    marked = searched.withColumns(
+        {
+            "i": F.row_number().over(at) - 1,
+            "moves": (F.count(frac).over(active) == SUSTAINED_FRAMES) & (F.min(frac).over(active) >= ONSET_MIN),
+            "rest": F.when(F.count(frac).over(quiet) == QUIET_FRAMES, F.max(frac).over(quiet)),
+        }
+    )
+    marked = marked.withColumn("a", F.min(F.when(F.col("moves"), F.col("i"))).over(Window.partitionBy(*KEYS)))
+    ends = (F.col("i") >= F.greatest(F.lit(MIN_PLAY_FRAMES - 1), F.col("a") + 1)) & (F.col("rest") <= QUIET_MAX)
+    marked = marked.withColumn("q", F.min(F.when(ends, F.col("i"))).over(Window.partitionBy(*KEYS)))
+    per_play = marked.groupBy(*KEYS).agg(
+        F.count("*").alias("n_frames"),
+        F.count(frac).alias("n_defined"),
+        F.min("a").alias("a"),
+        F.countDistinct(F.when(frac.isNotNull(), F.coalesce("coordinate_frame_id", F.lit("")))).alias("n_ids"),
+        F.min(F.when(frac.isNotNull(), F.coalesce("coordinate_frame_id", F.lit("")))).alias("least_id"),
+        F.max(F.when((F.col("i") >= F.col("a")) & (F.col("i") < F.col("q")), frac)).alias("active"),
+        F.max(F.when(F.col("i") == F.col("q"), F.struct("frame_id", "rest"))).alias("end"),
+    )
+    in_run = samples.select("run_id", "track_id").distinct().groupBy("run_id").agg(F.count("*").alias("n_tracks"))
+    joined = windows.select(*KEYS, "snap_frame").join(per_play, KEYS, "left").join(in_run, "run_id", "left")
+    reason = (
+        F.when(F.col("snap_frame").isNull(), "snap_unavailable")
+        .when(F.coalesce("n_frames", F.lit(0)) < MIN_PLAY_FRAMES + QUIET_FRAMES, "window_too_short")
+        .when(F.col("n_tracks") < MIN_TRACKS, "insufficient_tracks")
+        .when(F.col("n_defined") == 0, "insufficient_measured_samples")
+        .when((F.col("n_ids") > 1) | (F.col("least_id") == ""), "coordinate_frame_change")
+        .when(F.col("a").isNull(), "no_prior_sustained_motion")
+        .when(F.col("end").isNull(), "no_motion_cessation")
+    )
+    contrast = (F.col("active") - F.col("end.rest")) / REFERENCE_CONTRAST * F.col("n_defined") / F.col("n_frames")
+    ok = F.col("reason").isNull()
+    return joined.withColumn("reason", reason).select(
+        *KEYS,
+        F.when(ok, F.col("end.frame_id")).alias("end_frame"),
+        F.when(ok, F.round("active", 6)).alias("active_fraction"),
+        F.when(ok, F.round("end.rest", 6)).alias("quiet_fraction"),
+        F.when(ok, F.round(F.least(F.lit(MAX_CONFIDENCE), F.greatest(F.lit(0.0), contrast)), 4)).alias("confidence"),
+        "reason",
+    )

