@@ -7,8 +7,9 @@ Jaccard similarity of their sets reaches `PERCENT` / 100.
    sketch of document frequencies over all documents (a fixed number of counters).
 2. Sets are ordered by frequency class, rarest first, then by hash; a document posts the prefix that
    any linked partner must meet: n - ceil(t n) + 1 grams.
-3. Postings that no other document shares are dropped; equal sets become one node.
-4. Every posting list gets a pivot, its first node. Nodes are paired with their pivots if the length
+3. Postings that no other document shares are dropped, but keep their place; equal sets become one
+   node.
+4. Every posting list gets a pivot, the node that shares most of its prefix. Nodes are paired with their pivots if the length
    filter and the positional filter allow. Distinct pairs are verified once: a suffix filter on the
    counts of hash ranges, then exact intersection. Links give components, and only lists whose nodes
    are still in different components go on, with the next pivot, as long as the pairs left over would
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from playlake.llm.components import components
@@ -38,15 +39,18 @@ from playlake.llm.textkit import grams, hashes_of, mix
 
 WORDS = 5
 PERCENT = 80
-#: Counters of the frequency sketch, and those in one of its blocks.
-COUNTERS = 1 << 20
+#: Bits of a counter's number in the frequency sketch: enough for so many counters per document,
+#: between a least and a most, which bounds what is broadcast to 16 MB. Counters in a block.
+COUNTERS_PER_DOCUMENT = 16
+LEAST_BITS, MOST_BITS = 18, 24
 BLOCK = 1 << 16
 #: Hash ranges whose counts the suffix filter compares.
 RANGES = 32
 #: Pivot rounds at most, and pairs per posting below which all that are left are verified at once.
-ROUNDS = 4
-PAIRS_PER_POSTING = 2
-FREE_PAIRS = 200_000
+ROUNDS = 2
+PAIRS_PER_POSTING = 4
+#: Nodes of a round's pairs up to which their ids are broadcast to the scan of the texts.
+BROADCAST_NODES = 1_000_000
 
 
 def gram_set(text: bytes | None) -> np.ndarray:
@@ -66,24 +70,26 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 _SETS = f"{ROW} long, doc_id long, n long, sig_a long, sig_b long, block int, counts binary"
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketch = np.zeros(COUNTERS, np.uint32)
+def _describe(bits: int):
+    return lambda batches: _described(batches, bits)
+
+
+def _described(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    sketch, shift = np.zeros(1 << bits, np.uint32), np.uint64(64 - bits)
     names = [ROW, "doc_id", "n", "sig_a", "sig_b", "block", "counts"]
     for batch in batches:
         sizes, sig = [], []
         for text in batch.column("text").cast(pa.binary()):
             s = gram_set(text.as_py())
-            sketch += np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32) if len(s) > COUNTERS // 16 else 0
-            if len(s) <= COUNTERS // 16:
-                at, n = np.unique(s >> np.uint64(44), return_counts=True)
-                sketch[at.astype(np.int64)] += n.astype(np.uint32)
+            at, times = np.unique(s >> shift, return_counts=True)
+            sketch[at.astype(np.int64)] += times.astype(np.uint32)
             sizes.append(len(s))
             sig.append(_signature(s))
         null = pa.nulls(len(sizes), pa.int32())
         yield pa.RecordBatch.from_arrays(
             [batch.column(ROW), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([a for a, _ in sig], pa.int64()), pa.array([b for _, b in sig], pa.int64()), null, pa.nulls(len(sizes), pa.binary())], names=names
         )
-    blocks = [b for b in range(COUNTERS // BLOCK) if sketch[b * BLOCK : (b + 1) * BLOCK].any()]
+    blocks = [b for b in range(len(sketch) // BLOCK) if sketch[b * BLOCK : (b + 1) * BLOCK].any()]
     none = pa.nulls(len(blocks), pa.int64())
     yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(blocks, pa.int32()), pa.array([sketch[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes() for b in blocks], pa.binary())], names=names)
 
@@ -96,10 +102,15 @@ def _merge_block(block: pa.Table) -> pa.Table:
     return pa.table({"block": block.column("block")[:1], "classes": pa.array([classes.tobytes()], pa.binary())})
 
 
-def frequency_classes(described: DataFrame) -> np.ndarray:
+def sketch_bits(documents: int) -> int:
+    """Bits of a counter's number for a corpus of so many documents."""
+    return min(MOST_BITS, max(LEAST_BITS, (COUNTERS_PER_DOCUMENT * max(1, documents) - 1).bit_length()))
+
+
+def frequency_classes(described: DataFrame, bits: int) -> np.ndarray:
     """For each counter, the logarithm of how many documents' grams it has counted."""
     merged = described.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_merge_block, "block int, classes binary")
-    classes = np.zeros(COUNTERS, np.uint8)
+    classes = np.zeros(1 << bits, np.uint8)
     for r in merged.collect():  # as many rows as the sketch has blocks
         classes[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["classes"]), np.uint8)
     return classes
@@ -120,7 +131,8 @@ _POSTINGS = f"gram long, {ROW} long, n int, place int"
 
 def _post(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, seen = shared.value, set()
+        classes = shared.value
+        shift = np.uint64(64 - (len(classes) - 1).bit_length())
         for batch in batches:
             out: list[tuple[np.ndarray, int, int]] = []
             for row, text in zip(batch.column(ROW).to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
@@ -128,7 +140,7 @@ def _post(shared):
                 if not len(s):
                     continue
                 k = prefix_length(len(s))
-                order = np.lexsort((s, classes[(s >> np.uint64(44)).astype(np.int64)]))[:k]
+                order = np.lexsort((s, classes[(s >> shift).astype(np.int64)]))[:k]
                 out.append((s[order].view(np.int64), row, len(s)))
             lengths = [len(g) for g, _, _ in out]
             yield pa.RecordBatch.from_arrays(
@@ -169,30 +181,49 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _may_link(n: Column, m: Column, i: Column, j: Column) -> Column:
-    """Length filter and positional filter for a gram at places i and j of sets of n and m grams."""
+def _may_link(p: str, q: str) -> Column:
+    """Length filter and positional filter of two postings of a gram, by their prefixes of names.
+
+    `place` counts all grams of a set before this one, `before` those that any other set has in its
+    prefix; no other gram before this one can be in both sets.
+    """
+    n, m, i, j, u, v = (F.col(f"{x}{c}") for c in ("n", "place", "before") for x in (p, q))
     needed = F.ceil((n + m) * float(PERCENT) / (100 + PERCENT) - 1e-9)
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (F.least(i, j) + 1 + F.least(n - i, m - j) - 1 >= needed)
+    lengths = F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    # of the grams of a linked pair that both prefixes hold, the first comes this early in each set
+    early = (i <= n - needed) & (j <= m - needed)
+    return lengths & early & (F.least(u, v) + F.least(n - i, m - j) >= needed)
 
 
 class _Join:
     """State of the self-join: postings of nodes, their sets, and the links found so far."""
 
-    def __init__(self, scratch: Scratch, postings: DataFrame, sets: DataFrame):
-        self.scratch, self.sets, self.postings = scratch, sets, postings
+    def __init__(self, scratch: Scratch, postings: DataFrame, rows: DataFrame):
+        self.scratch, self.rows, self.postings = scratch, rows, postings
         self.round, self.links, self.labels = 0, None, None
 
     def verify(self, pairs: DataFrame) -> None:
         """Add the links among distinct `pairs` (a, b), and update the components."""
-        left = self.sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
-        right = self.sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
+        pairs = self.scratch.save(pairs, f"pairs-{self.round}")
+        sets = self.sets_for(pairs)
+        left = sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
+        right = sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
         found = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_links, "a long, b long")
         found = self.scratch.save(found, f"links-{self.round}")
+        self.scratch.drop(f"pairs-{self.round}", f"sets-{self.round}")
         # earlier links matter by their components only
         known = found if self.labels is None else found.unionByName(self.labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
         self.labels = components(known, self.scratch, f"round-{self.round}")
         self.round += 1
 
+    def sets_for(self, pairs: DataFrame) -> DataFrame:
+        """(node, grams) of the nodes that occur in pairs, made from their texts anew."""
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
+            nodes = F.broadcast(nodes)
+        texts = self.rows.join(nodes, self.rows[ROW] == nodes["node"]).select("node", "text")
+        return self.scratch.save(texts.mapInArrow(_sets_of, "node long, grams binary"), f"sets-{self.round}")
+
     def labelled(self) -> DataFrame:
         """Postings with their node's component, in lists of two components or more."""
         own = self.postings
@@ -205,10 +236,10 @@ class _Join:
 
     def pivot_round(self) -> None:
         """Pair every posting with its list's first node, which then leaves the list."""
-        first = self.postings.groupBy("gram").agg(F.min(F.struct("node", "n", "place", "label")).alias("p"))
+        first = self.postings.groupBy("gram").agg(F.min(F.struct("rank", "node", "n", "place", "before", "label")).alias("p"))
         joined = self.postings.join(first, "gram")
-        pairs = joined.where((F.col("label") != F.col("p.label")) & _may_link(F.col("n"), F.col("p.n"), F.col("place"), F.col("p.place"))).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
-        rest = joined.where(F.col("node") != F.col("p.node")).select("gram", "node", "n", "place")
+        pairs = joined.where((F.col("label") != F.col("p.label")) & _may_link("", "p.")).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+        rest = joined.where(F.col("node") != F.col("p.node")).select("gram", "node", "n", "place", "before", "rank")
         self.verify(pairs)
         self.postings = rest
         self._renew()
@@ -228,15 +259,13 @@ class _Join:
         """All components of two nodes or more as (node, label); None without any posting."""
         self._renew()
         for _ in range(ROUNDS):
-            pairs, n = self.pairs_left()
-            if pairs <= FREE_PAIRS + PAIRS_PER_POSTING * n:
-                break
             self.pivot_round()
-        else:
             pairs, n = self.pairs_left()
+            if pairs <= PAIRS_PER_POSTING * n:
+                break
         if pairs:
             p, q = self.postings.alias("p"), self.postings.alias("q")
-            rest = p.join(q, F.col("p.gram") == F.col("q.gram")).where((F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label")) & _may_link(F.col("p.n"), F.col("q.n"), F.col("p.place"), F.col("q.place")))
+            rest = p.join(q, F.col("p.gram") == F.col("q.gram")).where((F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label")) & _may_link("p.", "q."))
             self.verify(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct())
         return self.labels
 
@@ -245,21 +274,26 @@ def similarity_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Row key, doc_id, n_shingles, class (a row key) and component_id of every document."""
     scratch = Scratch(spark, "ngram-join")
     rows = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    described = scratch.save(rows.select(ROW, "doc_id", "text").mapInArrow(_describe, _SETS), "described")
+    bits = sketch_bits(rows.count())
+    described = scratch.save(rows.select(ROW, "doc_id", "text").mapInArrow(_describe(bits), _SETS), "described")
     own = described.where("block is null").select(ROW, "doc_id", "n", "sig_a", "sig_b")
-    shared = spark.sparkContext.broadcast(frequency_classes(described))
+    shared = spark.sparkContext.broadcast(frequency_classes(described, bits))
     same = own.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min(ROW).alias("node"))
     members = scratch.save(own.join(same, ["n", "sig_a", "sig_b"], "left").select(ROW, "doc_id", "n", F.coalesce("node", ROW).alias("node")), "members")
     postings = scratch.save(rows.select(ROW, "text").mapInArrow(_post(shared), _POSTINGS), "postings")
-    ends = postings.groupBy("gram").agg(F.min(ROW).alias("lo"), F.max(ROW).alias("hi")).where("lo < hi").select("gram")
+    ends = postings.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram")
     copies = members.where(F.col("node") != F.col(ROW)).select(ROW, F.lit(True).alias("is_copy"))
     live = postings.join(ends, "gram").join(copies, ROW, "left").where("is_copy is null").select("gram", F.col(ROW).alias("node"), "n", "place")
     live = scratch.save(live, "live")
     scratch.drop("postings", "described")
     shared_lists = live.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("gram")
-    nodes = live.join(shared_lists, "gram").select("node").distinct()
-    sets = scratch.save(rows.join(nodes, rows[ROW] == nodes["node"]).select("node", "text").mapInArrow(_sets_of, "node long, grams binary"), "sets")
-    labels = _Join(scratch, live, sets).run()
+    live = scratch.save(live.join(shared_lists, "gram"), "shared")
+    scratch.drop("live")
+    # the least edited of a family of near copies shares most of its prefix, and so links to most
+    nodes = scratch.save(live.groupBy("node", "n").agg((-F.count("*") / F.first("n")).alias("rank")), "nodes")
+    earlier = Window.partitionBy("node").orderBy("place")
+    live = live.join(nodes.select("node", "rank"), "node").withColumn("before", F.row_number().over(earlier) - 1)
+    labels = _Join(scratch, live, rows).run()
     if labels is None:
         classed = members.withColumn("class", F.col("node"))
     else:
