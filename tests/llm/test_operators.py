@@ -217,6 +217,23 @@ def test_secrets(spark, tmp_path):
     assert got[7]["spans"] == ""
 
 
+def test_even_tokens_of_every_alphabet_are_reported(spark, tmp_path):
+    rng, planted = random.Random(11), {}
+    for name, alphabet in secret_scan.ALPHABETS.items():
+        for n in (20, 23) if name == "hex" else (20, 32, 40, 64, 128):  # longer ones are base spans
+            for _ in range(20):
+                planted[len(planted)] = (name, n, "".join(rng.choices(alphabet, k=n)))
+    words = ["face", "decade", "cafe", "bead", "facade", "deed", "added", "beef"]
+    ordinary = {len(planted) + i: "".join(rng.choice(words) + str(rng.randrange(1990, 10**7)) for _ in range(5)).upper() for i in range(200)}
+    rows = [(d, f"some words {t} and more") for d, t in [*((d, t) for d, (_, _, t) in planted.items()), *ordinary.items()]]
+    _documents(spark, rows).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_random"] + r["n_hex"] for r in queries.op1_secret_scan(spark, str(tmp_path)).collect()}
+    for name, n in {v[:2] for v in planted.values()}:
+        share = sum(got[d] > 0 for d, v in planted.items() if v[:2] == (name, n)) / 20
+        assert share >= (0.9 if n >= 64 else 0.75 if n >= 32 else 0.4), (name, n, share)
+    assert sum(got[d] for d in ordinary) <= 0.03 * len(ordinary)
+
+
 def test_battery_is_calibrated_on_even_tokens():
     rng = random.Random(8)
     low = sum(secret_scan.battery_p([rng.randrange(64) for _ in range(48)], 64) < 0.05 for _ in range(1500)) / 1500
