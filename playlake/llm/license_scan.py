@@ -9,7 +9,8 @@ The number of bands follows from s: a copy that holds `PERCENT` % of the templat
 through the nearest window, has a least Jaccard similarity, and bands are added until such a pair
 collides with a probability of `RECALL` or more. Where that share means all shingles, one band suffices and
 nothing is missed. Verified are all windows of s shingles around a candidate: the share of the
-template's distinct shingles in the window.
+template's distinct shingles in the window. Copies may follow each other directly: of sufficient
+windows that overlap, those that share no word and together hold most shingles are matches.
 
 Documents are scanned in one pass without a shuffle; the templates are a fixed list, whose signatures
 each task computes for itself.
@@ -22,6 +23,7 @@ gives an empty result.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -120,6 +122,55 @@ def _band_keys(ranks: Permutations, sought: Sought) -> Iterator[np.ndarray]:
         yield (first << np.uint64(32)) | second
 
 
+def _growth(h: list[int], known: set[int], start: int, size: int) -> list[int]:
+    """How many distinct known shingles the first 0, 1, 2, ... shingles from `start` hold."""
+    seen: set[int] = set()
+    counts = [0]
+    for x in h[start : start + size]:
+        if x in known:
+            seen.add(x)
+        counts.append(len(seen))
+    return counts
+
+
+def _apart(h: list[int], known: set[int], n: int, size: int, run: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
+    """(start, stop, share) of the sufficient windows of a run that share no word and hold most shingles.
+
+    A window may end before its `size` where the next one starts. Of equal choices, the one of fewer
+    windows is taken, then of earlier starts. A run of one copy gives its best window.
+    """
+    need = PERCENT * len(known)
+    starts = [p for p, _ in run]
+    if 100 * (starts[-1] - starts[0]) < need:  # two sufficient windows don't fit
+        starts = [max(run, key=lambda x: (x[1], -x[0]))[0]]
+    # from the last start to the first: the best (shingles, -windows) with a window here, its stop, and what follows
+    best: dict[int, tuple[int, int]] = {}
+    chosen: dict[int, tuple[int, int, int | None]] = {}
+    onward: list[int | None] = [None] * (len(starts) + 1)  # best start at or after each place of the run
+    for i in range(len(starts) - 1, -1, -1):
+        p = starts[i]
+        counts = _growth(h, known, p, size)
+        lasts = [q for q in range(p, p + len(counts) - 1) if h[q] in known]
+        options = [(counts[-1], onward[bisect_left(starts, lasts[-1] + n)], lasts[-1] + n)]
+        for q in starts[i + 1 : bisect_left(starts, p + size + n - 1)]:
+            end = q - n + 1  # shingles from here on reach into the next window
+            if end > p and 100 * counts[end - p] >= need:
+                options.append((counts[end - p], q, lasts[bisect_left(lasts, end) - 1] + n))
+        for count, after, stop in options:
+            total, windows = best[after] if after is not None else (0, 0)
+            value = (total + count, windows - 1)
+            if p not in best or value > best[p]:
+                best[p], chosen[p] = value, (count, stop, after)
+        rest = onward[i + 1]
+        onward[i] = p if rest is None or best[p] >= best[rest] else rest
+    out, at = [], onward[0]
+    while at is not None:
+        count, stop, after = chosen[at]
+        out.append((at, stop, count / len(known)))
+        at = after
+    return out
+
+
 class Templates:
     """The templates' shingles, and their band keys by shingle length and count."""
 
@@ -164,10 +215,8 @@ class Templates:
                         good.append((p, share / len(known)))
             run: list[tuple[int, float]] = []
             for p, share in [*good, (1 << 60, 0.0)]:
-                if run and p >= run[-1][0] + size:
-                    start, best = max(run, key=lambda x: (x[1], -x[0]))
-                    last = max(i for i in range(start, min(start + size, len(h))) if h[i] in known)
-                    out.append((template, start, last + n, best))
+                if run and p >= run[-1][0] + size + n - 1:
+                    out += [(template, start, stop, best) for start, stop, best in _apart(h, known, n, size, run)]
                     run = []
                 run.append((p, share))
         return out

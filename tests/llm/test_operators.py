@@ -255,6 +255,28 @@ def test_licenses(spark, tmp_path):
         assert len(templates.matches(h, {t: list(range(len(h))) for t in range(len(templates.names))})) == got[d]["n_matches"]
 
 
+def test_adjacent_copies_of_a_notice_are_all_matched():
+    templates = license_scan.Templates()
+
+    def spans(text, template):
+        h = textkit.hashes_of(license_scan.words_of(text.encode()))
+        near: dict[int, list[int]] = {}
+        for t, at in templates.candidates(h):
+            near.setdefault(t, []).append(at)
+        return [(s, e) for t, s, e, _ in templates.matches(h, near) if t == template]
+
+    for at, (_, text) in enumerate(license_templates.TEMPLATES):
+        n = len(license_scan.words_of(text.encode()))
+        for between in (0, 1, 4, 12):
+            gap = " ".join(f"w{i}" for i in range(between))
+            expected = [(i * (n + between), i * (n + between) + n) for i in range(5)]
+            assert spans(f" {gap} ".join([text] * 5), at) == expected, (at, between)
+    words = license_templates.TEMPLATES[2][1].split()
+    assert len(spans(" ".join(words[:74] * 4), 2)) == 4  # cut short
+    assert len(spans(" ".join([*words[:9], "x", *words[10:], *words[:70], "y", *words[71:]]), 2)) == 2  # edited
+    assert len(spans(" ".join(words[5:] + words[:60]), 2)) == 1
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
