@@ -144,7 +144,7 @@ def _short_hits(docs: DataFrame, benchmark: Benchmark) -> DataFrame:
 def judge_documents(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """Row key, doc_id, n_words, n_hit, items (sorted as strings) and contaminated of each document."""
     scratch = Scratch(spark, "decontamination")
-    rows = with_row(docs.select("doc_id", "text"))
+    rows = with_row(docs).select(ROW, "doc_id", "text")
     hits = find_hits(scratch, rows.select(ROW, words_of(F.col("text")).alias("words")), Benchmark(scratch, items))
     spans = hits.groupBy(ROW, "start").agg((F.col("start") + F.max("length")).alias("stop"))
     before = Window.partitionBy(ROW).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
@@ -159,5 +159,6 @@ def judge_documents(spark: SparkSession, docs: DataFrame, items: DataFrame) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """`docs` without contaminated ones; all columns stay."""
+    docs = with_row(docs)
     bad = judge_documents(spark, docs, items).where("contaminated").select(ROW)
-    return with_row(docs).join(bad, ROW, "left_anti").drop(ROW)
+    return docs.join(bad, ROW, "left_anti").drop(ROW)

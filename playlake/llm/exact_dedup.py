@@ -122,7 +122,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     batch. Returns row key, doc_id, keep_id, group_size, kept, text_sha256, in_snapshot.
     """
     scratch = Scratch(spark, "exact-dedup")
-    docs = with_row(docs.select("doc_id", "text"))
+    docs = with_row(docs).select(ROW, "doc_id", "text")
     digests = scratch.save(digest_documents(docs), "digests")
     is_new = F.pmod(F.xxhash64("doc_id"), F.lit(BATCH_SHARES)) == 0
     snapshot = Snapshot.build(digests.where(~is_new), scratch)
@@ -158,5 +158,6 @@ def _confirm(docs: DataFrame, digests: DataFrame, candidates: DataFrame) -> Data
 
 def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """`docs` without the rows that `exact_dedup` drops; all columns stay."""
+    docs = with_row(docs)
     kept = exact_dedup(spark, docs).where("kept").select(ROW)
-    return with_row(docs).join(kept, ROW, "left_semi").drop(ROW)
+    return docs.join(kept, ROW, "left_semi").drop(ROW)

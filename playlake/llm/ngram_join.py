@@ -273,7 +273,7 @@ class _Join:
 def similarity_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Row key, doc_id, n_shingles, class (a row key) and component_id of every document."""
     scratch = Scratch(spark, "ngram-join")
-    rows = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = with_row(docs).select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits = sketch_bits(rows.count())
     described = scratch.save(rows.select(ROW, "doc_id", "text").mapInArrow(_describe(bits), _SETS), "described")
     own = described.where("block is null").select(ROW, "doc_id", "n", "sig_a", "sig_b")
@@ -305,5 +305,6 @@ def similarity_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """`docs` with one row of each similarity class, the one with the smallest doc_id."""
+    docs = with_row(docs)
     kept = similarity_classes(spark, docs).where("stays").select(ROW)
-    return with_row(docs).join(kept, ROW, "left_semi").drop(ROW)
+    return docs.join(kept, ROW, "left_semi").drop(ROW)

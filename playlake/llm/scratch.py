@@ -11,6 +11,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,9 @@ from playlake.shipping import ship_package
 
 #: Name of the row key that `with_row` adds; a leading underscore keeps it clear of user columns.
 ROW = "_row_key"
+_PATH, _AT, _FILE = "_row_path", "_row_at", "_row_file"
+#: Rows that a file may hold for keys of its own.
+FILE_ROWS = 1 << 40
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,12 +70,26 @@ class Scratch:
 
 
 def with_row(docs: DataFrame) -> DataFrame:
-    """Add a key for each row, the same at every read of a table that is stored in files.
+    """Add a key for each row, the same at every read, however the read is split.
 
-    Documents may repeat a doc_id or lack one, so operators join on this key. It is derived from
-    the partition and the position in it, hence `docs` must be a re-readable table.
+    Documents may repeat a doc_id or lack one, so operators join on this key. In a table of Parquet files
+    it is the file's number, by path, and the row's place in the file. Of any other table, the keyed
+    rows are written once and read back. A table that has the key already keeps it.
     """
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    if ROW in docs.columns:
+        return docs
+    try:
+        place = docs.metadataColumn("_metadata")
+        placed = docs.select("*", place["file_path"].alias(_PATH), place["row_index"].alias(_AT))
+    except AnalysisException:  # not a scan of Parquet files
+        return Scratch(docs.sparkSession, "keyed").save(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    paths = sorted(r[_PATH] for r in placed.select(_PATH).distinct().collect())  # as many as the table has files
+    if len(paths) < 2:
+        return placed.withColumn(ROW, F.col(_AT)).drop(_PATH, _AT)
+    files = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), f"{_PATH} string, {_FILE} long")
+    number = F.coalesce(_FILE, F.raise_error(F.lit("a file was added while its table was read")).cast("long"))
+    keyed = placed.join(F.broadcast(files), _PATH, "left").withColumn(ROW, number * FILE_ROWS + F.col(_AT))
+    return keyed.select(*[F.col(f"`{c}`") for c in docs.columns], ROW)
 
 
 def partitions_for(spark: SparkSession, items: int, per_partition: int) -> int:

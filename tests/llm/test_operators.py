@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from playlake.llm import chat, decontamination, exact_dedup, fuse_filter, langid, license_scan, license_templates, ngram_join, packing, pii, queries, secret_scan, substring_dedup, textkit
+from playlake.llm import chat, decontamination, exact_dedup, fuse_filter, langid, license_scan, license_templates, ngram_join, packing, pii, queries, scratch, secret_scan, substring_dedup, textkit
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -108,6 +108,50 @@ def test_fuse_filter_rules_most_others_out():
     assert len(made.table) * 8 / 20_000 < 12
 
 
+@pytest.fixture
+def split_anew(spark, tmp_path, monkeypatch):
+    """Documents in files of many row groups, whose reads are split otherwise after each saved table."""
+    rows = [*DOCS, *((d, _prose(d, 60)) for d in range(100, 700))]
+    for part in range(2):
+        _documents(spark, rows[part::2]).write.mode("append").option("parquet.block.size", 4096).option("parquet.page.size.row.check.min", 5).option("parquet.block.size.row.check.min", 5).parquet(str(tmp_path))
+    saves, save = [], scratch.Scratch.save
+    wide, narrow = "64m", "8k"
+
+    def switching(self, df, name):
+        out = save(self, df, name)
+        saves.append(name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", (wide, narrow)[len(saves) % 2])
+        return out
+
+    monkeypatch.setattr(scratch.Scratch, "save", switching)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    yield rows, spark.read.parquet(str(tmp_path))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_row_keys_do_not_depend_on_splits(spark, split_anew):
+    _, table = split_anew
+    keys = []
+    for size in ("64m", "8k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        keys.append({r[scratch.ROW]: (r["doc_id"], r["text"]) for r in scratch.with_row(table).collect()})
+    assert keys[0] == keys[1] and len(keys[0]) == table.count()
+    memory = scratch.with_row(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string"))
+    assert len({r[scratch.ROW] for r in memory.collect()}) == 2
+
+
+def test_operators_on_reads_that_are_split_anew(spark, split_anew):
+    rows, table = split_anew
+    kept = {max(rows[i][0] for i in g) for g in brute.equal_groups(rows).values()}
+    assert {r["doc_id"] for r in exact_dedup.drop_copies(spark, table).collect()} == kept
+    items = [(1, " ".join(BASE.split()[20:50])), (2, _prose(300, 60))]
+    found = decontamination.judge_documents(spark, table, spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: r["n_hit"] for r in found.collect()} == {d: v[1] for d, v in brute.contamination(rows, items).items()}
+    near = [(d, t) for d, t in rows if d < 100]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similarity_classes(spark, table).collect()}
+    assert {d: v for d, v in got.items() if d < 100} == brute.classes(near)
+
+
 def test_ngram_join(spark, docs):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similarity_classes(spark, docs).collect()}
     assert got == brute.classes(DOCS)
