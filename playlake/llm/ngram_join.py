@@ -4,20 +4,27 @@ A document's set holds its distinct word 5-grams, as 64-bit hashes. Two document
 Jaccard similarity of their sets reaches `PERCENT` / 100.
 
 1. One pass over the texts gives each document's set size and a 128-bit signature of its set, and a
-   sketch of document frequencies over all documents (a fixed number of counters).
-2. Sets are ordered by frequency class, rarest first, then by hash; a document posts the prefix that
-   any linked partner must meet: n - ceil(t n) + 1 grams.
-3. Postings that no other document shares are dropped, but keep their place; equal sets become one
-   node.
-4. Every posting list gets a pivot, the node that shares most of its prefix. Nodes are paired with their pivots if the length
-   filter and the positional filter allow. Distinct pairs are verified once: a suffix filter on the
-   counts of hash ranges, then exact intersection. Links give components, and only lists whose nodes
-   are still in different components go on, with the next pivot, as long as the pairs left over would
-   be many. Then all the pairs left in different components are verified. So a list of near copies
-   costs one pair per member, not all pairs, and no link between components is lost.
-
-Hot keys: a posting list is aggregated map-side to its ends, then joined, which adaptive execution
-splits where skewed. Sets travel to pairs by joins, never to the driver, which sees counts only.
+   sketch of document frequencies over all documents (a fixed number of counters), which is merged in
+   a tree. Equal sets become one node.
+2. Sets are ordered by frequency class, rarest first, then by hash; a node posts the prefix that
+   any linked partner must meet, n - ceil(t n) + 1 grams, and the gram that follows.
+3. One exchange by gram drops postings that no other node shares; they keep their place.
+4. Every posting list gets a pivot, the node that shares most of its prefix. Nodes are paired with their
+   pivots if the length filter and the positional filter allow. Distinct pairs are verified once: a
+   suffix filter on the counts of hash ranges, then exact intersection. Links give components, and only
+   lists whose nodes are still in different components go on, with the next pivot, as long as the pairs
+   left over would be many. So a list of near copies costs one pair per member, not all pairs.
+5. Lists that stay long, of unlike documents, are divided by a second gram: the two first grams that a
+   linked pair shares both lie in the prefixes with the gram that follows, so each pair of them makes a list.
+   Then all the pairs left in different components are verified, and no link between components is lost.
+
+The result is the classes that links give, with one row per document; links within a class that is known
+already aren't looked for.
+
+Hot keys: the sketch bounds how many documents may share a gram; a gram above `LIST_ROWS` is dealt to as
+many parts as that needs, and aggregates of its list come from map-side partial ones. A pivot with more than
+`PARTNERS` partners is dealt to several parts, with a copy of its set each. Sets travel to pairs by joins,
+never to the driver, which sees counts only.
 
 Edge cases: a text without words, or null, has an empty set and stands alone; fewer than five words
 are one gram; copies share their component; a null doc_id never names a component unless all its
@@ -26,10 +33,12 @@ members lack one; extra columns are ignored; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,16 +49,24 @@ from playlake.llm.textkit import grams, hashes_of, mix
 WORDS = 5
 PERCENT = 80
 #: Bits of a counter's number in the frequency sketch: enough for so many counters per document,
-#: between a least and a most, which bounds what is broadcast to 16 MB. Counters in a block.
+#: between a least and a most, which bounds what is broadcast to 16 MB. Counters in a block, and tasks
+#: whose blocks one step merges.
 COUNTERS_PER_DOCUMENT = 16
 LEAST_BITS, MOST_BITS = 18, 24
 BLOCK = 1 << 16
+MERGED_TASKS = 64
 #: Hash ranges whose counts the suffix filter compares.
 RANGES = 32
 #: Pivot rounds at most, and pairs per posting below which all that are left are verified at once.
 ROUNDS = 2
 PAIRS_PER_POSTING = 4
-#: Nodes of a round's pairs up to which their ids are broadcast to the scan of the texts.
+#: Postings of a gram that are dealt to one part, as the sketch bounds them (a power of two).
+LIST_ROWS = 1 << 12
+#: Open nodes of a list from which it is divided by a second gram.
+LONG_LIST = 64
+#: Partners of a pivot whose sets go to one part.
+PARTNERS = 1_000
+#: Row keys up to which a set of nodes is broadcast to the scan of the texts.
 BROADCAST_NODES = 1_000_000
 
 
@@ -67,7 +84,7 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
         return int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64))
 
 
-_SETS = f"{ROW} long, doc_id long, n long, sig_a long, sig_b long, block int, counts binary"
+_SETS = f"{ROW} long, doc_id long, n long, sig_a long, sig_b long, task int, block int, counts binary"
 
 
 def _describe(bits: int):
@@ -76,7 +93,7 @@ def _describe(bits: int):
 
 def _described(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     sketch, shift = np.zeros(1 << bits, np.uint32), np.uint64(64 - bits)
-    names = [ROW, "doc_id", "n", "sig_a", "sig_b", "block", "counts"]
+    names = [ROW, "doc_id", "n", "sig_a", "sig_b", "task", "block", "counts"]
     for batch in batches:
         sizes, sig = [], []
         for text in batch.column("text").cast(pa.binary()):
@@ -87,19 +104,23 @@ def _described(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Reco
             sig.append(_signature(s))
         null = pa.nulls(len(sizes), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(ROW), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([a for a, _ in sig], pa.int64()), pa.array([b for _, b in sig], pa.int64()), null, pa.nulls(len(sizes), pa.binary())], names=names
+            [batch.column(ROW), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([a for a, _ in sig], pa.int64()), pa.array([b for _, b in sig], pa.int64()), null, null, pa.nulls(len(sizes), pa.binary())], names=names
         )
     blocks = [b for b in range(len(sketch) // BLOCK) if sketch[b * BLOCK : (b + 1) * BLOCK].any()]
-    none = pa.nulls(len(blocks), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(blocks, pa.int32()), pa.array([sketch[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes() for b in blocks], pa.binary())], names=names)
+    none, task = pa.nulls(len(blocks), pa.int64()), TaskContext.get().partitionId()
+    packed = [_packed(sketch[b * BLOCK : (b + 1) * BLOCK]) for b in blocks]
+    yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array([task] * len(blocks), pa.int32()), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], names=names)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<u8").tobytes(), 1)
 
 
 def _merge_block(block: pa.Table) -> pa.Table:
     total = np.zeros(BLOCK, np.uint64)
-    for counts in block.column("counts"):
-        total += np.frombuffer(counts.as_buffer(), "<u4")
-    classes = np.ceil(np.log2(total + 1)).astype(np.uint8)
-    return pa.table({"block": block.column("block")[:1], "classes": pa.array([classes.tobytes()], pa.binary())})
+    for counts in block.column("counts").to_pylist():
+        total += np.frombuffer(zlib.decompress(counts), "<u8")
+    return pa.table({"task": block.column("task")[:1], "block": block.column("block")[:1], "counts": pa.array([_packed(total)], pa.binary())})
 
 
 def sketch_bits(documents: int) -> int:
@@ -108,11 +129,20 @@ def sketch_bits(documents: int) -> int:
 
 
 def frequency_classes(described: DataFrame, bits: int) -> np.ndarray:
-    """For each counter, the logarithm of how many documents' grams it has counted."""
-    merged = described.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_merge_block, "block int, classes binary")
+    """For each counter, the logarithm of how many documents' grams it has counted, rounded up.
+
+    The tasks' blocks are merged in a tree, so that no group has more than `MERGED_TASKS` of them.
+    """
+    merged = described.where("block is not null").select("task", "block", "counts")
+    tasks = merged.agg(F.max("task")).collect()[0][0]
+    tasks = 0 if tasks is None else tasks + 1
+    while tasks > 1:
+        tasks = -(-tasks // MERGED_TASKS)
+        merged = merged.withColumn("task", F.col("task") % tasks).groupBy("block", "task").applyInArrow(_merge_block, "task int, block int, counts binary")
     classes = np.zeros(1 << bits, np.uint8)
     for r in merged.collect():  # as many rows as the sketch has blocks
-        classes[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["classes"]), np.uint8)
+        counts = np.frombuffer(zlib.decompress(bytes(r["counts"])), "<u8")
+        classes[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.ceil(np.log2(counts + 1.0))
     return classes
 
 
@@ -126,36 +156,58 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-_POSTINGS = f"gram long, {ROW} long, n int, place int"
+_POSTINGS = "gram long, node long, n int, place int, salt int"
 
 
 def _post(shared):
+    """Postings of each text: its prefix and one gram more; salt is 0, or from 1 on a hot gram's part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = shared.value
         shift = np.uint64(64 - (len(classes) - 1).bit_length())
+        cool = LIST_ROWS.bit_length() - 1
         for batch in batches:
-            out: list[tuple[np.ndarray, int, int]] = []
+            out: list[tuple[np.ndarray, np.ndarray, int, int]] = []
             for row, text in zip(batch.column(ROW).to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 s = gram_set(text.as_py())
                 if not len(s):
                     continue
-                k = prefix_length(len(s))
-                order = np.lexsort((s, classes[(s >> shift).astype(np.int64)]))[:k]
-                out.append((s[order].view(np.int64), row, len(s)))
-            lengths = [len(g) for g, _, _ in out]
+                rarity = classes[(s >> shift).astype(np.int64)]
+                order = np.lexsort((s, rarity))[: prefix_length(len(s)) + 1]
+                parts = np.int64(1) << np.maximum(rarity[order].astype(np.int64) - cool, 0)
+                deal = int(mix(np.array([row], np.int64).view(np.uint64))[0] >> np.uint64(1))
+                out.append((s[order].view(np.int64), np.where(parts > 1, 1 + deal % parts, 0), row, len(s)))
+            lengths = [len(g) for g, _, _, _ in out]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([g for g, _, _ in out] or [np.zeros(0, np.int64)])),
-                    pa.array(np.repeat(np.array([r for _, r, _ in out], np.int64), lengths)),
-                    pa.array(np.repeat(np.array([n for _, _, n in out], np.int32), lengths)),
+                    pa.array(np.concatenate([g for g, _, _, _ in out] or [np.zeros(0, np.int64)])),
+                    pa.array(np.repeat(np.array([r for _, _, r, _ in out], np.int64), lengths)),
+                    pa.array(np.repeat(np.array([n for _, _, _, n in out], np.int32), lengths)),
                     pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths] or [np.zeros(0, np.int32)])),
+                    pa.array(np.concatenate([p.astype(np.int32) for _, p, _, _ in out] or [np.zeros(0, np.int32)])),
                 ],
-                names=["gram", ROW, "n", "place"],
+                names=["gram", "node", "n", "place", "salt"],
             )
 
     return run
 
 
+def shared_postings(postings: DataFrame) -> DataFrame:
+    """Postings that another row shares, by one exchange; those of hot grams all stay."""
+    rows = F.count("*").over(Window.partitionBy("gram", "salt"))
+    return postings.withColumn("rows", rows).where("rows > 1 or salt > 0").drop("rows")
+
+
+def over_lists(postings: DataFrame, **values: Column) -> DataFrame:
+    """Postings with aggregates of their gram's list; a hot gram's parts each get a copy of them."""
+    whole = Window.partitionBy("gram")
+    cool = postings.where("salt = 0").select("*", *(v.over(whole).alias(k) for k, v in values.items()))
+    hot = postings.where("salt > 0")
+    lists = hot.groupBy("gram").agg(*(v.alias(k) for k, v in values.items()), F.max("salt").alias("parts"))
+    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(1), F.col("parts")))).drop("parts")
+    return cool.unionByName(hot.join(lists, ["gram", "salt"]).select(*cool.columns))
+
+
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([gram_set(t.as_py()).tobytes() for t in batch.column("text").cast(pa.binary())], pa.binary())], names=["node", "grams"])
@@ -196,57 +248,61 @@ def _may_link(p: str, q: str) -> Column:
 
 
 class _Join:
-    """State of the self-join: postings of nodes, their sets, and the links found so far."""
+    """State of the self-join: open postings, the pivot of each, and the components found so far."""
 
-    def __init__(self, scratch: Scratch, postings: DataFrame, rows: DataFrame):
-        self.scratch, self.rows, self.postings = scratch, rows, postings
-        self.round, self.links, self.labels = 0, None, None
+    def __init__(self, scratch: Scratch, rows: DataFrame, postings: DataFrame, post):
+        self.scratch, self.rows, self.postings, self.post = scratch, rows, postings, post
+        self.round, self.labels = 0, None
 
     def verify(self, pairs: DataFrame) -> None:
         """Add the links among distinct `pairs` (a, b), and update the components."""
         pairs = self.scratch.save(pairs, f"pairs-{self.round}")
         sets = self.sets_for(pairs)
-        left = sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
-        right = sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
-        found = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_links, "a long, b long")
+        hot = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS).select("a", F.ceil(F.col("n") / PARTNERS).cast("int").alias("parts"))
+        dealt = pairs.join(hot, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0)).alias("part"))
+        left = sets.withColumnsRenamed({"node": "a", "grams": "left"}).join(hot, "a", "left")
+        left = left.select("a", "left", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        right = sets.withColumnsRenamed({"node": "b", "grams": "right"})
+        found = dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "left", "right").mapInArrow(_links, "a long, b long")
+        # earlier links matter by their components only
         found = self.scratch.save(found, f"links-{self.round}")
         self.scratch.drop(f"pairs-{self.round}", f"sets-{self.round}")
-        # earlier links matter by their components only
         known = found if self.labels is None else found.unionByName(self.labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
         self.labels = components(known, self.scratch, f"round-{self.round}")
+        self.scratch.drop(f"links-{self.round}")
         self.round += 1
 
+    def texts_of(self, nodes: DataFrame) -> DataFrame:
+        """(row key, text) of some nodes."""
+        if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
+            nodes = F.broadcast(nodes)
+        return self.rows.join(nodes, self.rows[ROW] == nodes["node"]).select(ROW, "text")
+
     def sets_for(self, pairs: DataFrame) -> DataFrame:
         """(node, grams) of the nodes that occur in pairs, made from their texts anew."""
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
-            nodes = F.broadcast(nodes)
-        texts = self.rows.join(nodes, self.rows[ROW] == nodes["node"]).select("node", "text")
+        texts = self.texts_of(nodes).withColumnRenamed(ROW, "node")
         return self.scratch.save(texts.mapInArrow(_sets_of, "node long, grams binary"), f"sets-{self.round}")
 
-    def labelled(self) -> DataFrame:
-        """Postings with their node's component, in lists of two components or more."""
-        own = self.postings
-        if self.labels is not None:
-            own = own.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    def open_lists(self, name: str) -> None:
+        """Give postings their components, keep lists of two or more, and name each list's pivot."""
+        if self.labels is None:
+            own = self.postings.withColumn("label", F.col("node"))
         else:
-            own = own.withColumn("label", F.col("node"))
-        open_lists = own.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
-        return own.join(open_lists, "gram")
+            own = self.postings.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        pivot = F.min(F.struct("rank", "node", "n", "place", "before", "label"))
+        own = over_lists(own, lo=F.min("label"), hi=F.max("label"), size=F.count("*"), p=pivot).where("lo < hi")
+        meets = (F.col("label") != F.col("p.label")) & _may_link("", "p.")
+        own = own.select("gram", "salt", "node", "n", "place", "before", "rank", "label", "size", F.when(meets, F.col("p.node")).alias("pivot"), (F.col("node") != F.col("p.node")).alias("stays"))
+        self.postings = self.scratch.save(own.where("pivot is not null or size > 2"), name)
 
     def pivot_round(self) -> None:
-        """Pair every posting with its list's first node, which then leaves the list."""
-        first = self.postings.groupBy("gram").agg(F.min(F.struct("rank", "node", "n", "place", "before", "label")).alias("p"))
-        joined = self.postings.join(first, "gram")
-        pairs = joined.where((F.col("label") != F.col("p.label")) & _may_link("", "p.")).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
-        rest = joined.where(F.col("node") != F.col("p.node")).select("gram", "node", "n", "place", "before", "rank")
-        self.verify(pairs)
-        self.postings = rest
-        self._renew()
-
-    def _renew(self) -> None:
-        name = f"postings-{self.round}"
-        self.postings = self.scratch.save(self.labelled(), name)
+        """Pair the postings with their lists' pivots, which then leave the lists."""
+        lists, name = self.postings, f"lists-{self.round}"
+        self.verify(lists.where("pivot is not null").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+        self.postings = lists.where("stays and size > 2").select("gram", "salt", "node", "n", "place", "before", "rank")
+        self.open_lists(f"lists-{self.round}")
+        self.scratch.drop(name)
 
     def pairs_left(self) -> tuple[int, int]:
         """How many pairs of postings in different components there are, and postings."""
@@ -255,14 +311,31 @@ class _Join:
         r = lists.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("sq")) / 2).alias("pairs"), F.sum("n").alias("n")).collect()[0]
         return int(r["pairs"] or 0), int(r["n"] or 0)
 
+    def divide_long_lists(self) -> None:
+        """Replace long lists by those of their gram and any later one of the node's prefix."""
+        long = self.postings.where(F.col("size") > LONG_LIST)
+        if not long.limit(1).count():
+            return
+        later = self.texts_of(long.select("node").distinct()).mapInArrow(self.post, _POSTINGS).select("node", F.col("gram").alias("next"), F.col("place").alias("at"))
+        both = long.join(later, "node").where("at > place").withColumn("gram", F.xxhash64("gram", "next")).withColumn("salt", F.lit(0))
+        parts = [d.select("gram", "salt", "node", "n", "place", "before", "rank") for d in (self.postings.where(F.col("size") <= LONG_LIST), both)]
+        name = f"lists-{self.round}"
+        self.postings = parts[0].unionByName(parts[1])
+        self.open_lists(f"divided-{self.round}")
+        self.scratch.drop(name)
+        self.pivot_round()
+
     def run(self) -> DataFrame | None:
         """All components of two nodes or more as (node, label); None without any posting."""
-        self._renew()
+        self.open_lists("lists-0")
         for _ in range(ROUNDS):
             self.pivot_round()
             pairs, n = self.pairs_left()
             if pairs <= PAIRS_PER_POSTING * n:
                 break
+        else:
+            self.divide_long_lists()
+            pairs, _ = self.pairs_left()
         if pairs:
             p, q = self.postings.alias("p"), self.postings.alias("q")
             rest = p.join(q, F.col("p.gram") == F.col("q.gram")).where((F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label")) & _may_link("p.", "q."))
@@ -277,32 +350,35 @@ def similarity_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     bits = sketch_bits(rows.count())
     described = scratch.save(rows.select(ROW, "doc_id", "text").mapInArrow(_describe(bits), _SETS), "described")
     own = described.where("block is null").select(ROW, "doc_id", "n", "sig_a", "sig_b")
-    shared = spark.sparkContext.broadcast(frequency_classes(described, bits))
+    post = _post(spark.sparkContext.broadcast(frequency_classes(described, bits)))
     same = own.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min(ROW).alias("node"))
     members = scratch.save(own.join(same, ["n", "sig_a", "sig_b"], "left").select(ROW, "doc_id", "n", F.coalesce("node", ROW).alias("node")), "members")
-    postings = scratch.save(rows.select(ROW, "text").mapInArrow(_post(shared), _POSTINGS), "postings")
-    ends = postings.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram")
-    copies = members.where(F.col("node") != F.col(ROW)).select(ROW, F.lit(True).alias("is_copy"))
-    live = postings.join(ends, "gram").join(copies, ROW, "left").where("is_copy is null").select("gram", F.col(ROW).alias("node"), "n", "place")
-    live = scratch.save(live, "live")
-    scratch.drop("postings", "described")
-    shared_lists = live.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("gram")
-    live = scratch.save(live.join(shared_lists, "gram"), "shared")
-    scratch.drop("live")
+    scratch.drop("described")
+    postings = shared_postings(_node_postings(rows, members, post))
     # the least edited of a family of near copies shares most of its prefix, and so links to most
-    nodes = scratch.save(live.groupBy("node", "n").agg((-F.count("*") / F.first("n")).alias("rank")), "nodes")
-    earlier = Window.partitionBy("node").orderBy("place")
-    live = live.join(nodes.select("node", "rank"), "node").withColumn("before", F.row_number().over(earlier) - 1)
-    labels = _Join(scratch, live, rows).run()
+    own = Window.partitionBy("node").orderBy("place")
+    shared = F.count("*").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    postings = postings.withColumn("rank", (-shared / F.col("n")).cast("float")).withColumn("before", F.row_number().over(own) - 1)
+    labels = _Join(scratch, rows, postings, post).run()
     if labels is None:
         classed = members.withColumn("class", F.col("node"))
     else:
         classed = members.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     classed = scratch.save(classed.select(ROW, "doc_id", F.col("n").alias("n_shingles"), "class"), "classed")
+    scratch.drop("members")
     least = classed.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", ROW)).alias("first"))
     return classed.join(least, "class").withColumn("stays", F.col("first")[ROW] == F.col(ROW)).drop("first")
 
 
+def _node_postings(rows: DataFrame, members: DataFrame, post) -> DataFrame:
+    """Postings of one text of each node; copies are left out before the exchange if they are few."""
+    copies = members.where(F.col("node") != F.col(ROW)).select(ROW)
+    if copies.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
+        return rows.join(F.broadcast(copies), ROW, "left_anti").select(ROW, "text").mapInArrow(post, _POSTINGS)
+    postings = shared_postings(rows.select(ROW, "text").mapInArrow(post, _POSTINGS))
+    return postings.join(copies.withColumnRenamed(ROW, "node"), "node", "left_anti")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """`docs` with one row of each similarity class, the one with the smallest doc_id."""
     docs = with_row(docs)

@@ -169,6 +169,33 @@ def test_ngram_join_of_many_near_copies(spark, tmp_path):
     assert got == brute.classes(rows)
 
 
+def _unlike(rng: random.Random, n: int) -> list[tuple[int, str]]:
+    """Documents that share a passage but little else, and some near copies of them."""
+    shared, rows = _prose(11, 30), []
+    for d in range(n):
+        own = " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randint(0, 40)))
+        rows.append((d, f"{shared} {own}"))
+        if d % 5 == 0:
+            rows.append((1000 + d, f"{shared} {own} more"))
+    return rows
+
+
+@pytest.mark.parametrize("lists", ["short", "long"])
+def test_ngram_join_of_hot_grams(spark, tmp_path, monkeypatch, lists):
+    """Every bound set so low that all its ways are taken: parts of lists, pivots' parts, lists by two grams."""
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", 2)
+    monkeypatch.setattr(ngram_join, "PARTNERS", 2)
+    monkeypatch.setattr(ngram_join, "BROADCAST_NODES", 3)
+    monkeypatch.setattr(ngram_join, "MERGED_TASKS", 2)
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_POSTING", 0)
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 2 if lists == "long" else 10**6)
+    rows = _unlike(random.Random(5), 40)
+    rows += [(5000 + d, t) for d, t in rows[:10]]
+    _documents(spark, rows).repartition(7).write.mode("overwrite").parquet(str(tmp_path))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similarity_classes(spark, spark.read.parquet(str(tmp_path))).collect()}
+    assert got == brute.classes(rows)
+
+
 def test_substring_dedup(spark, docs):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], brute.sha(r["kept_text"])) for r in substring_dedup.remove_repeats(spark, docs).collect()}
     assert got == brute.without_repeats(DOCS)
