@@ -21,6 +21,9 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     track = F.col("user_id") + 1
     e = e.withColumn("position_source", source)
     placed = F.col("position_source") != "none"
+    k, cut = F.col("k"), 70 + track % 3  # tracks change their frame of reference up to two frames apart
+    after = F.col("frame_id") >= cut
+    unknown = k % 19 == 0
     return e.select(
         F.floor(F.col("user_id") / 22).cast("int").alias("run_id"),
         track.cast("long").alias("track_id"),
@@ -33,8 +36,14 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(coasted, "coasted").otherwise("observed").alias("track_state"),
         rejected.alias("is_outlier_rejected"),
         "position_source",
-        F.when(F.col("frame_id") < 70, "cal:0").otherwise("cal:1").alias("coordinate_frame_id"),
-        F.when(F.col("frame_id") < 70, 0).otherwise(1).alias("coordinate_segment"),
+        (~coasted & ~rejected & (k % 23 != 0)).alias("is_measurement_used"),
+        F.when(unknown, "unknown").when(F.col("frame_id") % 7 == 0, "propagated").otherwise("calibrated").alias("geometry_state"),
+        F.when(unknown, "uncalibrated").when(after, "relative_10yd").otherwise("absolute").alias("x_coord_mode"),
+        F.when(k != 41, F.when(after, "cal:1").otherwise("cal:0")).alias("coordinate_frame_id"),
+        (after.cast("int") + (track % 2).cast("int")).alias("coordinate_segment"),
+        F.when(k % 10 != 3, (1 + k % 3).cast("double") / 100).alias("cov_xx"),
+        F.when(k % 10 != 3, F.when(k == 77, 1.0).otherwise(0.001)).alias("cov_xy"),
+        F.when(k % 10 != 3, (1 + k % 4).cast("double") / 100).alias("cov_yy"),
         F.when(track % 11 == 0, "UNKNOWN").when(track % 2 == 0, "TEAM_A").otherwise("TEAM_B").alias("team"),
     )
 
@@ -49,7 +58,17 @@ def plays(sampled: DataFrame) -> DataFrame:
     return p1.unionByName(p2).unionByName(p3)
 
 
-#: The same two tables in DuckDB's dialect, as the heads of WITH clauses.
+def labels(sampled: DataFrame) -> DataFrame:
+    """Manual labels of each run that don't overlap: one closed play, with a snap in some runs, and an open one."""
+    runs = sampled.select("run_id").distinct()
+    none = F.lit(None).cast("long")
+    start = F.when(F.col("run_id") % 3 == 1, 5).when(F.col("run_id") % 3 == 2, 30).otherwise(0).cast("long")
+    p1 = runs.select("run_id", F.lit("p1").alias("play_id"), start.alias("start_frame"), F.when(F.col("run_id") % 4 == 1, 40).cast("long").alias("snap_frame"), F.lit(60).cast("long").alias("end_frame"))
+    p2 = runs.select("run_id", F.lit("p2").alias("play_id"), F.lit(61).cast("long").alias("start_frame"), F.when(F.col("run_id") % 2 == 0, 62).cast("long").alias("snap_frame"), none.alias("end_frame"))
+    return p1.unionByName(p2)
+
+
+#: The same tables in DuckDB's dialect, as heads of WITH clauses.
 SAMPLES_SQL = """e AS (
     SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS frame_id,
            CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events
@@ -64,8 +83,13 @@ SAMPLES_SQL = """e AS (
            CASE WHEN frame_id BETWEEN 20 AND 59 THEN value / 10 ELSE value / 400 END AS speed_yd_s,
            CASE WHEN event_type = 'signup' THEN 'coasted' ELSE 'observed' END AS track_state,
            event_type = 'error' AND k < 20 AS is_outlier_rejected, position_source,
-           CASE WHEN frame_id < 70 THEN 'cal:0' ELSE 'cal:1' END AS coordinate_frame_id,
-           CASE WHEN frame_id < 70 THEN 0 ELSE 1 END AS coordinate_segment,
+           NOT (event_type = 'signup' OR (event_type = 'error' AND k < 20) OR k % 23 = 0) AS is_measurement_used,
+           CASE WHEN k % 19 = 0 THEN 'unknown' WHEN frame_id % 7 = 0 THEN 'propagated' ELSE 'calibrated' END AS geometry_state,
+           CASE WHEN k % 19 = 0 THEN 'uncalibrated' WHEN frame_id >= 70 + (user_id + 1) % 3 THEN 'relative_10yd' ELSE 'absolute' END AS x_coord_mode,
+           CASE WHEN k <> 41 THEN CASE WHEN frame_id >= 70 + (user_id + 1) % 3 THEN 'cal:1' ELSE 'cal:0' END END AS coordinate_frame_id,
+           ((frame_id >= 70 + (user_id + 1) % 3)::INT + (user_id + 1) % 2)::INT AS coordinate_segment,
+           CASE WHEN k % 10 <> 3 THEN (1 + k % 3)::DOUBLE / 100 END AS cov_xx, CASE WHEN k % 10 <> 3 THEN CASE WHEN k = 77 THEN 1.0::DOUBLE ELSE 0.001::DOUBLE END END AS cov_xy,
+           CASE WHEN k % 10 <> 3 THEN (1 + k % 4)::DOUBLE / 100 END AS cov_yy,
            CASE WHEN (user_id + 1) % 11 = 0 THEN 'UNKNOWN' WHEN (user_id + 1) % 2 = 0 THEN 'TEAM_A' ELSE 'TEAM_B' END AS team
     FROM f
 )"""
@@ -74,3 +98,7 @@ PLAYS_SQL = """plays AS (
     UNION ALL SELECT DISTINCT run_id, 'p2', 70, 80 FROM samples
     UNION ALL SELECT DISTINCT run_id, 'p3', 0, NULL FROM samples
 )"""
+LABELS_SQL = """labels AS (
+    SELECT DISTINCT run_id, 'p1' AS play_id, (CASE run_id % 3 WHEN 1 THEN 5 WHEN 2 THEN 30 ELSE 0 END)::BIGINT AS start_frame, CASE WHEN run_id % 4 = 1 THEN 40::BIGINT END AS snap_frame, 60::BIGINT AS end_frame FROM samples
+    UNION ALL SELECT DISTINCT run_id, 'p2', 61, CASE WHEN run_id % 2 = 0 THEN 62 END, NULL FROM samples
+)"""

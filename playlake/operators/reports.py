@@ -52,12 +52,6 @@ def label_overlaps(plays: DataFrame) -> DataFrame:
     return p.withColumn("violation", broken).where("violation is not null").select("run_id", "play_id", "violation")
 
 
-def tracks_in_windows(samples: DataFrame, plays: DataFrame) -> DataFrame:
-    """Tracks with a sample in each play's window; an open window has no upper bound."""
-    inside = (F.col("frame_id") >= F.col("start_frame")) & (F.col("end_frame").isNull() | (F.col("frame_id") <= F.col("end_frame")))
-    return samples.join(plays, "run_id").where(inside).groupBy("run_id", "play_id").agg(F.countDistinct("track_id").alias("n_tracks"))
-
-
 def longest_observed_runs(observations: DataFrame) -> DataFrame:
     """Longest run of consecutive observed frames of each track."""
     at = Window.partitionBy("run_id", "track_id").orderBy("frame_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playlake import domain
 from playlake.functions import geometry
-from playlake.operators import assignment, evidence, formations, play, predicates, reports, routes, scoring
+from playlake.operators import assignment, evidence, events, formations, play, predicates, reports, routes, scoring, segments, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,8 +30,8 @@ def _boxes(spark: SparkSession, sf_dir: str, shifted: bool) -> DataFrame:
 
 def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     s = domain.samples(spark, sf_dir)
-    windows = evidence.closed_windows(domain.plays(s), s)
-    return s, windows, evidence.motion_evidence(s, windows)
+    closed = windows.closed_windows(domain.plays(s), s)
+    return s, closed, evidence.motion_evidence(s, closed)
 
 
 def motion_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,28 +42,97 @@ def evidence_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.evidence_buckets(domain.samples(spark, sf_dir))
 
 
+def exclusion_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = domain.samples(spark, sf_dir)
+    return evidence.exclusion_totals(s, domain.plays(s))
+
+
+def evidence_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.evidence_totals(_evidence(spark, sf_dir)[2])
+
+
 def snap_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.snap_onset(*_evidence(spark, sf_dir))
 
 
-def frame_phase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, windows, e = _evidence(spark, sf_dir)
-    return evidence.frame_phases(windows, evidence.snap_onset(s, windows, e))
+def play_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = domain.samples(spark, sf_dir)
+    snap = F.when(F.col("run_id") % 3 != 2, 20).cast("long")  # a third of the runs has no snap
+    return evidence.play_end(s, domain.plays(s).where("play_id = 'p1'").withColumn("snap_frame", snap))
 
 
-def _timed_plays(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def play_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = domain.samples(spark, sf_dir)
-    snap = F.when(F.col("run_id") % 3 != 2, 20).cast("long")  # a third of the runs has no snap
-    return s, domain.plays(s).where("play_id = 'p1'").withColumn("snap_frame", snap)
+    snap = F.when(F.col("run_id") % 3 != 2, F.col("start_frame") + 15)
+    return play.play_metrics(s, domain.plays(s).withColumn("snap_frame", snap), 10.0)
 
 
-def play_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, p = _timed_plays(spark, sf_dir)
-    return evidence.play_end(s, p.drop("start_frame"))
+def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = domain.samples(spark, sf_dir)
+    return s, segments.segment_plays(s, domain.labels(s), automatic_end=True)
 
 
-def play_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return play.play_metrics(*_timed_plays(spark, sf_dir), 10.0)
+def play_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir)[1]
+
+
+def segment_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.refusals(_segments(spark, sf_dir)[1])
+
+
+def segment_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.segment_counters(_segments(spark, sf_dir)[1])
+
+
+def segment_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.segment_durations(_segments(spark, sf_dir)[1], 10.0)
+
+
+def segment_of_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, found = _segments(spark, sf_dir)
+    return segments.segment_of_frames(s.select("run_id", "frame_id").distinct(), found)
+
+
+def frame_phase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, found = _segments(spark, sf_dir)
+    return segments.phase_counts(segments.frame_phases(found, s))
+
+
+def play_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = segments.play_records(_segments(spark, sf_dir)[1], 10.0)
+    return made.withColumn("n_events", F.json_array_length("events")).drop("events")
+
+
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.timeline(*_segments(spark, sf_dir))
+
+
+def unavailable_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.unavailable_kinds(_segments(spark, sf_dir)[1])
+
+
+def label_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with a rule broken in most runs."""
+    good, case = domain.labels(domain.samples(spark, sf_dir)), F.col("run_id") % 5
+    broken = good.withColumns(
+        {
+            "play_id": F.concat("play_id", F.when(case == 4, "x").otherwise("")),
+            "start_frame": F.col("start_frame") - F.when(case == 1, 40).otherwise(0),
+            "snap_frame": F.col("snap_frame") + F.when(case == 2, 90).otherwise(0),
+            "end_frame": F.col("end_frame") - F.when(case == 3, 50).otherwise(0),
+        }
+    )
+    none = F.lit(None).cast("long")
+    twice = good.where((case == 0) & (F.col("play_id") == "p1")).select("run_id", "play_id", F.lit(5).cast("long").alias("start_frame"), none.alias("snap_frame"), F.lit(20).cast("long").alias("end_frame"))
+    return segments.check_labels(broken.unionByName(twice))
+
+
+def trajectory_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.trajectory_counters(domain.samples(spark, sf_dir))
+
+
+def review_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.review_diagnostics(domain.samples(spark, sf_dir))
 
 
 def _islands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +140,11 @@ def _islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routes.route_segments(_islands(spark, sf_dir))
+    return routes.route_segments(_islands(spark, sf_dir), 20, 26.0, -1)
+
+
+def route_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routes.route_status(routes.route_segments(_islands(spark, sf_dir), 20))
 
 
 def line_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +160,11 @@ def nearest_defender(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sideline_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routes.sideline_exits(domain.samples(spark, sf_dir))
+    return events.sideline_exits(domain.samples(spark, sf_dir)).select("run_id", "track_id", "frame_id", "sideline")
+
+
+def formation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formations.formation_status(domain.samples(spark, sf_dir))
 
 
 def formation_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +201,7 @@ def label_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def window_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = domain.samples(spark, sf_dir)
-    return reports.tracks_in_windows(s, domain.plays(s))
+    return windows.tracks_in_windows(s, domain.plays(s))
 
 
 def longest_observed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,8 +267,10 @@ def homography_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        motion_evidence, evidence_buckets, snap_onset, play_end, play_metrics, frame_phase_counts, assignment_per_frame, route_segments, line_crossings, presnap_motion, nearest_defender, sideline_exits,
-        formation_shape, nearest_teammate, box_count, report_tracks, report_coverage, report_runs, missing_frames, label_overlap, window_semi,
-        longest_observed_run, recovery_latency, csv_guard, iou_pairs, best_track_per_gt, id_switches, dominant_track, detection_rates, field_error_percentiles, homography_project,
+        motion_evidence, evidence_buckets, exclusion_totals, evidence_totals, snap_onset, play_end, play_metrics, play_segments, segment_refusals, segment_counters, segment_durations,
+        segment_of_frames, frame_phase_counts, play_records, timeline, unavailable_kinds, label_violations, trajectory_counters, review_diagnostics, assignment_per_frame, route_segments,
+        route_status, line_crossings, presnap_motion, nearest_defender, sideline_exits, formation_status, formation_shape, nearest_teammate, box_count, report_tracks, report_coverage,
+        report_runs, missing_frames, label_overlap, window_semi, longest_observed_run, recovery_latency, csv_guard, iou_pairs, best_track_per_gt, id_switches, dominant_track, detection_rates,
+        field_error_percentiles, homography_project,
     )
 }

@@ -47,20 +47,20 @@ def _samples(spark, rows):
     """Rows of (track, frame, x, y) and overrides."""
     full = []
     for track, frame, x, y, *more in rows:
-        full.append({"run_id": 0, "track_id": track, "frame_id": frame, "timestamp_s": frame / 10, "x_yd": x, "y_yd": y, "speed_yd_s": 0.0, "track_state": "observed", "is_outlier_rejected": False, "position_source": "measured_smoothed", "coordinate_frame_id": "c", "coordinate_segment": 0, "team": "TEAM_A"} | (more[0] if more else {}))
-    schema = "run_id int, track_id long, frame_id long, timestamp_s double, x_yd double, y_yd double, speed_yd_s double, track_state string, is_outlier_rejected boolean, position_source string, coordinate_frame_id string, coordinate_segment int, team string"
+        full.append({"run_id": 0, "track_id": track, "frame_id": frame, "timestamp_s": frame / 10, "x_yd": x, "y_yd": y, "speed_yd_s": 0.0, "track_state": "observed", "is_outlier_rejected": False, "position_source": "measured_smoothed", "coordinate_frame_id": "c", "x_coord_mode": "absolute", "geometry_state": "calibrated", "is_measurement_used": True, "cov_xx": 0.01, "cov_xy": 0.0, "cov_yy": 0.01, "coordinate_segment": 0, "team": "TEAM_A"} | (more[0] if more else {}))
+    schema = "run_id int, track_id long, frame_id long, timestamp_s double, x_yd double, y_yd double, speed_yd_s double, track_state string, is_outlier_rejected boolean, position_source string, coordinate_frame_id string, x_coord_mode string, geometry_state string, is_measurement_used boolean, cov_xx double, cov_xy double, cov_yy double, coordinate_segment int, team string"
     return spark.createDataFrame([tuple(r.values()) for r in full], schema)
 
 
 def test_route_breaks_at_gaps_and_epochs(spark):
     s = _samples(spark, [(1, 0, 0.0, 0.0), (1, 2, 3.0, 4.0), (1, 3, 6.0, 8.0, {"coordinate_segment": 1})])
-    got = routes.route_segments(routes.route_islands(s)).collect()
+    got = routes.route_segments(routes.route_islands(s), 5).collect()
     assert [(r["n_observations"], r["distance"], r["stem"]) for r in sorted(got, key=lambda r: r["island"])] == [(1, 0.0, "unknown")] * 3
 
 
 def test_coasted_sample_breaks_a_route(spark):
     s = _samples(spark, [(1, 0, 0.0, 0.0), (1, 1, 1.0, 0.0, {"track_state": "coasted"}), (1, 2, 2.0, 0.0)])
-    assert routes.route_segments(routes.route_islands(s)).count() == 2
+    assert routes.route_segments(routes.route_islands(s), 5).count() == 2
 
 
 def test_separation_needs_the_same_frame_of_reference(spark):
