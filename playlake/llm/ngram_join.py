@@ -7,24 +7,24 @@ Jaccard similarity of their sets reaches `PERCENT` / 100.
    sketch of document frequencies over all documents (a fixed number of counters), which is merged in
    a tree. Equal sets become one node.
 2. Sets are ordered by frequency class, rarest first, then by hash; a node posts the prefix that
-   any linked partner must meet, n - ceil(t n) + 1 grams, and the gram that follows.
+   any linked partner must meet, n - ceil(t n) + 1 grams.
 3. One exchange by gram drops postings that no other node shares; they keep their place.
 4. Every posting list gets a pivot, the node that shares most of its prefix. Nodes are paired with their
    pivots if the length filter and the positional filter allow. Distinct pairs are verified once: a
    suffix filter on the counts of hash ranges, then exact intersection. Links give components, and only
    lists whose nodes are still in different components go on, with the next pivot, as long as the pairs
    left over would be many. So a list of near copies costs one pair per member, not all pairs.
-5. Lists that stay long, of unlike documents, are divided by a second gram: the two first grams that a
-   linked pair shares both lie in the prefixes with the gram that follows, so each pair of them makes a list.
-   Then all the pairs left in different components are verified, and no link between components is lost.
+5. Then all the pairs left in different components that pass both filters are verified, and no link between
+   components is lost. Only lists of documents that are unlike each other, yet hold little else than what they share,
+   stay long until then; their postings are compared within the join, which lets few pairs through.
 
 The result is the classes that links give, with one row per document; links within a class that is known
 already aren't looked for.
 
 Hot keys: the sketch bounds how many documents may share a gram; a gram above `LIST_ROWS` is dealt to as
 many parts as that needs, and aggregates of its list come from map-side partial ones. A pivot with more than
-`PARTNERS` partners is dealt to several parts, with a copy of its set each. Sets travel to pairs by joins,
-never to the driver, which sees counts only.
+`PARTNERS` partners is dealt to several parts, with a copy of its set each, and so is a list of more nodes in
+the last step. Sets travel to pairs by joins, never to the driver, which sees counts only.
 
 Edge cases: a text without words, or null, has an empty set and stands alone; fewer than five words
 are one gram; copies share their component; a null doc_id never names a component unless all its
@@ -59,12 +59,10 @@ MERGED_TASKS = 64
 RANGES = 32
 #: Pivot rounds at most, and pairs per posting below which all that are left are verified at once.
 ROUNDS = 2
-PAIRS_PER_POSTING = 4
+PAIRS_PER_POSTING = 32
 #: Postings of a gram that are dealt to one part, as the sketch bounds them (a power of two).
 LIST_ROWS = 1 << 12
-#: Open nodes of a list from which it is divided by a second gram.
-LONG_LIST = 64
-#: Partners of a pivot whose sets go to one part.
+#: Partners of a pivot, or of a list's nodes, that go to one part.
 PARTNERS = 1_000
 #: Row keys up to which a set of nodes is broadcast to the scan of the texts.
 BROADCAST_NODES = 1_000_000
@@ -160,7 +158,7 @@ _POSTINGS = "gram long, node long, n int, place int, salt int"
 
 
 def _post(shared):
-    """Postings of each text: its prefix and one gram more; salt is 0, or from 1 on a hot gram's part."""
+    """Postings of each text's prefix; salt is 0, or from 1 on a hot gram's part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = shared.value
@@ -173,7 +171,7 @@ def _post(shared):
                 if not len(s):
                     continue
                 rarity = classes[(s >> shift).astype(np.int64)]
-                order = np.lexsort((s, rarity))[: prefix_length(len(s)) + 1]
+                order = np.lexsort((s, rarity))[: prefix_length(len(s))]
                 parts = np.int64(1) << np.maximum(rarity[order].astype(np.int64) - cool, 0)
                 deal = int(mix(np.array([row], np.int64).view(np.uint64))[0] >> np.uint64(1))
                 out.append((s[order].view(np.int64), np.where(parts > 1, 1 + deal % parts, 0), row, len(s)))
@@ -250,8 +248,8 @@ def _may_link(p: str, q: str) -> Column:
 class _Join:
     """State of the self-join: open postings, the pivot of each, and the components found so far."""
 
-    def __init__(self, scratch: Scratch, rows: DataFrame, postings: DataFrame, post):
-        self.scratch, self.rows, self.postings, self.post = scratch, rows, postings, post
+    def __init__(self, scratch: Scratch, rows: DataFrame, postings: DataFrame):
+        self.scratch, self.rows, self.postings = scratch, rows, postings
         self.round, self.labels = 0, None
 
     def verify(self, pairs: DataFrame) -> None:
@@ -260,7 +258,7 @@ class _Join:
         sets = self.sets_for(pairs)
         hot = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS).select("a", F.ceil(F.col("n") / PARTNERS).cast("int").alias("parts"))
         dealt = pairs.join(hot, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0)).alias("part"))
-        left = sets.withColumnsRenamed({"node": "a", "grams": "left"}).join(hot, "a", "left")
+        left = sets.withColumnsRenamed({"node": "a", "grams": "left"}).join(pairs.select("a").distinct(), "a", "left_semi").join(hot, "a", "left")
         left = left.select("a", "left", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
         right = sets.withColumnsRenamed({"node": "b", "grams": "right"})
         found = dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "left", "right").mapInArrow(_links, "a long, b long")
@@ -311,20 +309,6 @@ class _Join:
         r = lists.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("sq")) / 2).alias("pairs"), F.sum("n").alias("n")).collect()[0]
         return int(r["pairs"] or 0), int(r["n"] or 0)
 
-    def divide_long_lists(self) -> None:
-        """Replace long lists by those of their gram and any later one of the node's prefix."""
-        long = self.postings.where(F.col("size") > LONG_LIST)
-        if not long.limit(1).count():
-            return
-        later = self.texts_of(long.select("node").distinct()).mapInArrow(self.post, _POSTINGS).select("node", F.col("gram").alias("next"), F.col("place").alias("at"))
-        both = long.join(later, "node").where("at > place").withColumn("gram", F.xxhash64("gram", "next")).withColumn("salt", F.lit(0))
-        parts = [d.select("gram", "salt", "node", "n", "place", "before", "rank") for d in (self.postings.where(F.col("size") <= LONG_LIST), both)]
-        name = f"lists-{self.round}"
-        self.postings = parts[0].unionByName(parts[1])
-        self.open_lists(f"divided-{self.round}")
-        self.scratch.drop(name)
-        self.pivot_round()
-
     def run(self) -> DataFrame | None:
         """All components of two nodes or more as (node, label); None without any posting."""
         self.open_lists("lists-0")
@@ -333,13 +317,14 @@ class _Join:
             pairs, n = self.pairs_left()
             if pairs <= PAIRS_PER_POSTING * n:
                 break
-        else:
-            self.divide_long_lists()
-            pairs, _ = self.pairs_left()
         if pairs:
-            p, q = self.postings.alias("p"), self.postings.alias("q")
-            rest = p.join(q, F.col("p.gram") == F.col("q.gram")).where((F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label")) & _may_link("p.", "q."))
+            parts = F.ceil(F.col("size") / PARTNERS).cast("int")
+            p = self.postings.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).alias("p")
+            q = self.postings.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("q")
+            meet = (F.col("p.gram") == F.col("q.gram")) & (F.col("p.part") == F.col("q.part")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label"))
+            rest = p.join(q, meet & _may_link("p.", "q."))
             self.verify(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct())
+        self.scratch.drop(f"lists-{self.round}", f"lists-{self.round - 1}")
         return self.labels
 
 
@@ -359,7 +344,7 @@ def similarity_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     own = Window.partitionBy("node").orderBy("place")
     shared = F.count("*").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     postings = postings.withColumn("rank", (-shared / F.col("n")).cast("float")).withColumn("before", F.row_number().over(own) - 1)
-    labels = _Join(scratch, rows, postings, post).run()
+    labels = _Join(scratch, rows, postings).run()
     if labels is None:
         classed = members.withColumn("class", F.col("node"))
     else:
