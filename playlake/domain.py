@@ -102,3 +102,64 @@ LABELS_SQL = """labels AS (
     SELECT DISTINCT run_id, 'p1' AS play_id, (CASE run_id % 3 WHEN 1 THEN 5 WHEN 2 THEN 30 ELSE 0 END)::BIGINT AS start_frame, CASE WHEN run_id % 4 = 1 THEN 40::BIGINT END AS snap_frame, 60::BIGINT AS end_frame FROM samples
     UNION ALL SELECT DISTINCT run_id, 'p2', 61, CASE WHEN run_id % 2 = 0 THEN 62 END, NULL FROM samples
 )"""
+
+
+def calibrations(sampled: DataFrame) -> DataFrame:
+    """One calibration per run and frame, with every way to refuse; some frames have none."""
+    f = sampled.select("run_id", "frame_id").distinct()
+    m = ((F.col("run_id") * 31 + F.col("frame_id") * 7) % 97).cast("int")
+    f = f.withColumn("m", m).where("m % 41 <> 40")
+    m = F.col("m")
+    d = m.cast("double")
+    h = [0.05 + d / 10007, (m % 3).cast("double") / 503, F.lit(5.017), (m % 2).cast("double") / 1009, F.lit(-0.0613), F.lit(40.0071), F.lit(0.0), (m % 7).cast("double") / 100000, F.lit(1.0)]
+    twice = m % 23 == 0  # the third row repeats the first
+    h = [F.when(twice, h[i % 3] * 2).otherwise(c) if i >= 6 else c for i, c in enumerate(h)]
+    return f.select(
+        "run_id",
+        "frame_id",
+        (m % 11 != 0).alias("success"),
+        *(c.alias(f"h{i}") for i, c in enumerate(h)),
+        (m % 17 != 0).alias("is_plausible"),
+        F.when(m % 13 == 0, "uncalibrated").when(m % 13 == 1, "relative_5yd").when(m % 13 == 2, "relative_10yd").otherwise("absolute").alias("x_coord_mode"),
+        F.when(m % 29 != 0, 0.30 + (m % 71).cast("double") / 100).alias("confidence"),
+        F.when((m % 11 == 0) & (m % 2 == 0), "insufficient_yard_lines").alias("failure_reason"),
+        (m % 5 == 0).alias("is_propagated"),
+        (m % 4).cast("int").alias("propagation_age"),
+        (m % 6 + 1).cast("int").alias("n_yard_lines"),
+        F.when(m % 19 != 0, (m % 9).cast("double") / 2).alias("ridge_px"),
+        (m % 25).cast("int").alias("n_hash"),
+        F.when(m % 31 != 0, (m % 10).cast("double") / 2).alias("hash_rmse_px"),
+        F.when(m % 37 != 0, (m % 14).cast("double") / 100).alias("even_score"),
+        ((m % 9).cast("double") / 100).alias("odd_score"),
+        (m % 3 == 0).alias("start_verified"),
+    )
+
+
+def boxes(sampled: DataFrame) -> DataFrame:
+    """One box per sample in a crowded picture of 900 by 506 pixels, with the flags of a detector."""
+    k, t = F.col("k"), F.col("track_id")
+    x1, y1 = (t % 22 * 14 + k % 7 * 3).cast("double"), (t % 2 * 60 + k % 10 * 12 + F.when(k % 16 == 0, 330).otherwise(0)).cast("double")
+    flag = lambda n: F.when(k % n == 0, True)
+    return sampled.select(
+        "run_id", "frame_id", t.alias("box_id"), x1.alias("x1"), y1.alias("y1"), (x1 + 15 + k % 25).alias("x2"), (y1 + 30 + k % 41).alias("y2"), (F.lit(0.2) + (k % 80).cast("double") / 100).alias("confidence"),
+        flag(5).alias("sideline_occluded"), flag(37).alias("lower_body_occluded"), flag(31).alias("player_crossing"), "k",
+    )
+
+
+CALIBRATIONS_SQL = """cals AS (
+    SELECT run_id, frame_id, m, m % 11 <> 0 AS success, 0.05::DOUBLE + m::DOUBLE / 10007 AS h0, (m % 3)::DOUBLE / 503 AS h1, 5.017::DOUBLE AS h2, (m % 2)::DOUBLE / 1009 AS h3, -0.0613::DOUBLE AS h4, 40.0071::DOUBLE AS h5,
+           CASE WHEN m % 23 = 0 THEN (0.05::DOUBLE + m::DOUBLE / 10007) * 2 ELSE 0.0::DOUBLE END AS h6, CASE WHEN m % 23 = 0 THEN (m % 3)::DOUBLE / 503 * 2 ELSE (m % 7)::DOUBLE / 100000 END AS h7,
+           CASE WHEN m % 23 = 0 THEN 10.034::DOUBLE ELSE 1.0::DOUBLE END AS h8, m % 17 <> 0 AS is_plausible,
+           CASE m % 13 WHEN 0 THEN 'uncalibrated' WHEN 1 THEN 'relative_5yd' WHEN 2 THEN 'relative_10yd' ELSE 'absolute' END AS x_coord_mode, CASE WHEN m % 29 <> 0 THEN 0.30::DOUBLE + (m % 71)::DOUBLE / 100 END AS confidence,
+           CASE WHEN m % 11 = 0 AND m % 2 = 0 THEN 'insufficient_yard_lines' END AS failure_reason, m % 5 = 0 AS is_propagated, (m % 4)::INT AS propagation_age, (m % 6 + 1)::INT AS n_yard_lines,
+           CASE WHEN m % 19 <> 0 THEN (m % 9)::DOUBLE / 2 END AS ridge_px, (m % 25)::INT AS n_hash, CASE WHEN m % 31 <> 0 THEN (m % 10)::DOUBLE / 2 END AS hash_rmse_px,
+           CASE WHEN m % 37 <> 0 THEN (m % 14)::DOUBLE / 100 END AS even_score, (m % 9)::DOUBLE / 100 AS odd_score, m % 3 = 0 AS start_verified
+    FROM (SELECT DISTINCT run_id, frame_id, (run_id * 31 + frame_id * 7) % 97 AS m FROM samples) WHERE m % 41 <> 40
+), gated AS (
+    SELECT *, coalesce(success AND is_plausible AND x_coord_mode <> 'uncalibrated' AND confidence BETWEEN 0.45 AND 1.0 AND m % 23 <> 0, false) AS ok FROM cals
+)"""
+BOXES_SQL = """boxes AS (
+    SELECT *, x1 + 15 + k % 25 AS x2, y1 + 30 + k % 41 AS y2 FROM (
+        SELECT run_id, frame_id, track_id AS box_id, (track_id % 22 * 14 + k % 7 * 3)::DOUBLE AS x1, (track_id % 2 * 60 + k % 10 * 12 + CASE WHEN k % 16 = 0 THEN 330 ELSE 0 END)::DOUBLE AS y1, 0.2::DOUBLE + (k % 80)::DOUBLE / 100 AS confidence,
+               k % 5 = 0 AS sideline_occluded, k % 37 = 0 AS lower_body_occluded, k % 31 = 0 AS player_crossing, k FROM samples)
+)"""
