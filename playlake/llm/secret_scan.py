@@ -1,7 +1,7 @@
 """Secrets in texts: three base patterns, and a randomness test battery on other long tokens.
 
 Candidates are runs of at least `LEAST` characters of the base64/base64url alphabet that no base span
-touches. A candidate's encoding (hex, base32, alphanumeric, base64) is the smallest alphabet
+touches, whatever letters and digits they hold. A candidate's encoding (hex, letters, base32, alphanumeric, base64) is the smallest alphabet
 that holds it, and it is read as a sequence of positions in that alphabet. The battery asks whether
 that sequence looks drawn evenly: a chi-squared test of uniformity, a Wald-Wolfowitz runs test about
 the alphabet's middle and a serial-correlation test. A candidate that fails the battery isn't random.
@@ -15,8 +15,10 @@ cases, digits are too few for the second. In hex, whose words and numbers togeth
 evenly, the second alone tells: 16 to 24 digits get p-values of 0.01 to 0.0001, which pass only where
 many candidates do. Over all
 candidates of the corpus these p-values enter the Benjamini-Hochberg procedure, which bounds the share
-of ordinary tokens among the reported ones by `FDR`. The cut-off needs a histogram of p-values only,
-of a fixed number of bins.
+of ordinary tokens among the reported ones by `FDR`; a candidate that fails the battery counts as a test with
+a p-value of 1. The cut-off needs a histogram of p-values only, of a fixed number of bins.
+
+Base spans stay whatever the tests say, but carry the same p-value where they are long enough.
 
 Edge cases: a null or empty text has no span; a text of any length is scanned whole; repeated rows are
 judged each for itself and count each in the procedure; without candidates the cut-off is 0; extra
@@ -54,9 +56,12 @@ _TOKEN = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}")
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "hex_upper": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "upper_digits": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "lower_digits": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "alphanumeric": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
@@ -174,34 +179,46 @@ def unusual_p(token: str, name: str) -> float:
     if len(alphabet) == 16:
         return changes_p(token)
     shares = ordinary_p([_PLACES[name][c] for c in token], len(alphabet))
-    if len(alphabet) > 36:
+    if len(alphabet) > 36 or alphabet.isalpha():
         return shares
     log = math.log(shares) + math.log(changes_p(token))
     return max(1e-300, math.exp(max(log, -700.0)) * (1 - log))
 
 
-def mixed_classes(token: str) -> bool:
-    """Whether a token mixes digits with letters; words and plain numbers don't."""
-    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+def token_p(token: str) -> tuple[str | None, float]:
+    """Encoding of a token, and its p-value: 1 if the battery says that it isn't evenly drawn."""
+    token = token.rstrip("=")
+    name = encoding_of(token)
+    if name is None:
+        return None, 1.0
+    if battery_p([_PLACES[name][c] for c in token], len(ALPHABETS[name])) < LEVEL:
+        return name, 1.0
+    return name, unusual_p(token, name)
+
 
+def base_p(text: str, span: tuple[int, int, str]) -> tuple[str | None, float | None]:
+    """The same for what a base span holds; None if that is too short to be tested."""
+    start, stop, kind = span
+    value = text[start:stop]
+    if kind == "assign":
+        value = _ASSIGN.match(text, start)[2]
+    return token_p(value) if len(value) >= LEAST else (None, None)
 
-def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float]]:
-    """(start, end, encoding, p) of tokens that pass the battery and that no base span touches."""
-    out, at = [], 0
+
+def candidates(text: str, taken: list[tuple[int, int, str]]) -> tuple[int, list[tuple[int, int, str, float]]]:
+    """How many tokens no base span touches, and (start, end, encoding, p) of those that pass the battery."""
+    out, at, tested = [], 0, 0
     taken = sorted(taken)
     for m in _TOKEN.finditer(text):
         while at < len(taken) and taken[at][1] <= m.start():
             at += 1
         if any(s < m.end() and m.start() < e for s, e, _ in taken[at : at + len(KINDS)]):
             continue
-        token = m[0].rstrip("=")
-        name = encoding_of(token)
-        if name is None or not mixed_classes(token):
-            continue
-        places = [_PLACES[name][c] for c in token]
-        if battery_p(places, len(ALPHABETS[name])) >= LEVEL:
-            out.append((m.start(), m.end(), name, unusual_p(token, name)))
-    return out
+        tested += 1
+        name, p = token_p(m[0])
+        if p < 1.0:
+            out.append((m.start(), m.end(), name, p))
+    return tested, out
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string()), ("p", pa.float64()), ("encoding", pa.string())])
@@ -214,9 +231,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for value in batch.column("text"):
             text = value.as_py() or ""
             base = base_spans(text)
-            more = candidates(text, base)
-            tested.append(len(more))
-            spans.append([{"start": s, "stop": e, "kind": k, "p": 0.0, "encoding": None} for s, e, k in base] + [{"start": s, "stop": e, "kind": "random", "p": p, "encoding": n} for s, e, n, p in more])
+            n, more = candidates(text, base)
+            tested.append(n)
+            judged = [(b, base_p(text, b)) for b in base]
+            spans.append([{"start": s, "stop": e, "kind": k, "p": p, "encoding": n} for (s, e, k), (n, p) in judged] + [{"start": s, "stop": e, "kind": "random", "p": p, "encoding": n} for s, e, n, p in more])
         yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), pa.array(tested, pa.int64()), pa.array(spans, pa.list_(_SPAN))], names=[ROW, "doc_id", "tested", "spans"])
 
 
@@ -232,15 +250,16 @@ def cut_off(histogram: dict[int, int], tests: int, fdr: float = FDR) -> float:
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Row key, doc_id and the spans (start, stop, kind, p, encoding) of each document, by start."""
+    """Row key, doc_id, n_tested and the spans (start, stop, kind, p, encoding) of each document, by start."""
     scratch = Scratch(spark, "secret-scan")
     rows = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     found = scratch.save(rows.mapInArrow(_scan, _SCHEMA), "found")
-    each = found.where("tested > 0").select(F.explode("spans").alias("s")).where("s.kind = 'random'")
+    each = found.select(F.explode("spans").alias("s")).where("s.kind = 'random'")
     bins = F.least(F.floor(-F.log10("s.p") * BINS), F.lit(BINS * DECADES)).cast("int")
     histogram = {r["bin"]: r["n"] for r in each.groupBy(bins.alias("bin")).agg(F.count("*").alias("n")).collect()}
-    limit = cut_off(histogram, max(1, sum(histogram.values())))
-    return found.select(ROW, "doc_id", F.array_sort(F.filter("spans", lambda s: (s["kind"] != "random") | (s["p"] <= limit)), _by_start).alias("spans"))
+    tests = found.agg(F.sum("tested")).collect()[0][0] or 0
+    limit = cut_off(histogram, max(1, tests))
+    return found.select(ROW, "doc_id", F.col("tested").alias("n_tested"), F.array_sort(F.filter("spans", lambda s: (s["kind"] != "random") | (s["p"] <= limit)), _by_start).alias("spans"))
 
 
 def _by_start(a: Column, b: Column) -> Column:
