@@ -4,7 +4,7 @@ A text is lower-cased, everything but letters becomes a word boundary, and the c
 its words (with boundary marks) are hashed into a fixed number of buckets. The text's vector is the
 mean of their embeddings; a linear softmax on top gives the languages' probabilities. Embeddings and
 softmax are trained together by stochastic gradient descent in numpy, on the driver, on a bounded
-sample of labelled rows; a part of that sample is set aside to calibrate the temperature and the
+sample of labelled rows, of which it gets n-gram counts only, made by the executors; a part of that sample is set aside to calibrate the temperature and the
 rejection threshold.
 
 As the model is linear, prediction needs the product of both matrices only: per n-gram one row of
@@ -34,7 +34,7 @@ UNKNOWN = "und"
 BUCKETS = 1 << 16
 DIMENSION = 16
 ORDERS = (1, 2, 3)
-#: Labelled rows that training reads at most, over all languages, and those it expects per language.
+#: Labelled rows that training expects over all languages, and of each; no language gets less than one.
 SAMPLE_ROWS = 6_000
 SAMPLE_PER_LANGUAGE = 600
 #: Code points of a text that are held as numbers at once.
@@ -139,17 +139,31 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+Counted = tuple[np.ndarray, np.ndarray, str, int]
+
+
+def count_subwords(text: str, lang: str) -> Counted | None:
+    """(buckets, counts, language, checksum of the text) of a training row; None without a letter."""
+    grams = np.concatenate([subwords(letters_of(p)) for p in pieces_of(text)] or [np.zeros(0, np.uint32)])
+    if not len(grams):
+        return None
+    ids, counts = np.unique(grams, return_counts=True)
+    return ids.astype(np.uint32), counts.astype(np.uint32), lang, zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """Fit a model to (text, language) rows; the same rows in any order give the same model."""
-    languages = sorted({lang for _, lang in rows})
+    return train_counted([c for text, lang in rows if (c := count_subwords(text, lang))], seed)
+
+
+def train_counted(rows: list[Counted], seed: int = 7) -> Model:
+    """Fit a model to counted rows."""
+    languages = sorted({r[2] for r in rows})
     if not languages:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
-    data = []
-    for text, lang in sorted(rows):
-        grams = np.concatenate([subwords(letters_of(p)) for p in pieces_of(text)] or [np.zeros(0, np.uint32)])
-        if len(grams):
-            ids, counts = np.unique(grams, return_counts=True)
-            data.append((ids, (counts / len(grams)).astype(np.float32), languages.index(lang), zlib.crc32(text.encode("utf-8", "surrogatepass"))))
+    place = {lang: i for i, lang in enumerate(languages)}
+    ordered = sorted(rows, key=lambda r: (r[3], r[2], r[0].tobytes(), r[1].tobytes()))
+    data = [(ids, (counts / counts.sum()).astype(np.float32), place[lang], check) for ids, counts, lang, check in ordered]
     check = [d for d in data if d[3] % 1000 < 1000 * CALIBRATION_SHARE]
     fit = [d for d in data if d[3] % 1000 >= 1000 * CALIBRATION_SHARE] or data
     rng = np.random.default_rng(seed)
@@ -196,27 +210,37 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample_rows(labelled: DataFrame) -> list[tuple[str, str]]:
-    """At most `SAMPLE_ROWS` of the labelled rows, about as many of each language.
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [c for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True) if (c := count_subwords(text, lang))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())],
+            names=["ids", "counts", "lang", "check"],
+        )
+
 
-    Rows are chosen by a hash of the doc_id, with one rate per language, so rare languages are in.
+def sample_rows(labelled: DataFrame) -> list[Counted]:
+    """Counted rows of a sample, as many of each language as there are, up to `SAMPLE_PER_LANGUAGE`.
+
+    Every language is in, at one rate each, by a hash of the doc_id; `SAMPLE_ROWS` are shared evenly, and
+    of more languages than that the sample expects one row each.
     """
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
-    if not counts:
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return []
-    per = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // (2 * len(counts))))
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per / n))).otherwise(rate)
+    per = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // languages))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    rows = labelled.where(draw < rate).select("text", "lang").limit(SAMPLE_ROWS).collect()
-    return [(r["text"], r["lang"]) for r in rows]
+    rows = labelled.join(counts, "lang").where(draw * F.col("n") < per).select("text", "lang")
+    taken = rows.mapInArrow(_count_batches, "ids binary, counts binary, lang string, check long").collect()
+    return [(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["counts"], np.uint32), r["lang"], r["check"]) for r in taken]
 
 
 def fit_model(docs: DataFrame) -> Model:
     """Train on labelled rows outside the held-out share; only text and label are read."""
+    ship_package(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
-    return train(sample_rows(labelled.select("doc_id", "text", "lang")))
+    return train_counted(sample_rows(labelled.select("doc_id", "text", "lang")))
 
 
 def _predict_batches(shared):
@@ -250,7 +274,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def drop_rejected(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """`docs` without the texts that the model rejects; all columns stay."""
-    clash = {c: f"_{c}" for c in ("lang_pred", "score", "rejected") if c in docs.columns}
-    rows = predict_languages(spark, docs.withColumnsRenamed(clash), fit_model(docs)).where(~F.col("rejected"))
-    return rows.drop("lang_pred", "score", "rejected").withColumnsRenamed({v: k for k, v in clash.items()})
+    """`docs` without the texts that the model rejects; all columns stay, whatever their names."""
+    made, taken = ("lang_pred", "score", "rejected"), set(docs.columns)
+    aside = {c: next(n for i in range(len(taken) + 1) if (n := f"_{c}_{i}") not in taken) for c in made if c in taken}
+    rows = predict_languages(spark, docs.withColumnsRenamed(aside), fit_model(docs)).where(~F.col("rejected"))
+    return rows.drop(*made).withColumnsRenamed({v: k for k, v in aside.items()})
