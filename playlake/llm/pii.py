@@ -4,10 +4,12 @@ Candidates come from patterns: four base kinds, whose passing matches are always
 kinds. Labelers (format, checksum, gazetteer, context) vote on each candidate or abstain. Expectation
 maximisation over the counts of vote patterns estimates how reliable each labeler is, for personal and
 other spans, and gives each pattern a probability. These soft labels train a logistic span classifier
-on votes, kind and shape; it decides which of the looser candidates are reported.
+that doesn't see the votes but the span and its place: digit groups, separators, letters, the word before it (hashed) and
+the character after it. It decides which of the looser candidates are reported.
 
-The corpus is read by Spark's functions alone. The driver fits both models to one row per distinct
-combination of kind, votes and shape, at most `kinds * 3^labelers * shapes` rows whatever the corpus.
+The corpus is read by Spark's functions alone. The driver fits the label model to one row per distinct
+kind and vote pattern (`kinds * 3^labelers` at most) and the classifier to one row per distinct kind and
+features (`kinds * GROUPS * 5 * 4 * (WORDS + 1) * 4` at most), whatever the corpus.
 
 Positions: matches are marked in place, the text is split at the marks, and running sums of the
 parts' lengths give code points. Patterns use possessive quantifiers and start only where a run of
@@ -25,16 +27,22 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from playlake.llm.scratch import ROW, Scratch, with_row
 
 #: Probability from which a looser candidate is reported.
-ACCEPT = 0.9
+ACCEPT = 0.8
+#: Votes that a labeler is taken to have cast rightly and wrongly on each class before it casts any.
+PRIOR = (9.0, 1.0)
 #: Code points before a match that the context labeler reads.
 CONTEXT = 40
+#: Values of the classifier's features: digit groups counted, and buckets of the word before.
+GROUPS, WORDS = 6, 24
 LABELERS = ("v_format", "v_checksum", "v_gazetteer", "v_context")
+FEATURES = ("f_groups", "f_separator", "f_letters", "f_before", "f_after")
 
 _MARK, _OTHER = "\x01", "\x02"
 
@@ -56,6 +64,15 @@ def _octets(c: Column) -> Column:
     return F.forall(F.split(c, r"\."), lambda p: p.rlike("^0*(?:[0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
 
 
+def _mod97(c: Column) -> Column:
+    """Whether an account number's check digits are right: letters count from 10, the first four places come last."""
+    plain = F.regexp_replace(c, " ", "")
+    turned = F.concat(F.substring(plain, 5, 64), F.left(plain, F.lit(4)))
+    value = lambda ch: F.when(ch.between("0", "9"), ch.cast("int")).otherwise(F.ascii(ch) - 55)
+    rest = F.aggregate(F.split(turned, ""), F.lit(0), lambda r, ch: F.when(ch == "", r).otherwise((r * F.when(ch.between("0", "9"), 10).otherwise(100) + value(ch)) % 97))
+    return rest == 1
+
+
 def _always(c: Column) -> Column:
     return F.lit(True)
 
@@ -110,7 +127,7 @@ KINDS = (
     ),
     Kind(
         "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", _always,
-        lambda c: _vote(F.length(F.regexp_replace(c, " ", "")).between(15, 34)), gazetteer=lambda c: _vote(c.rlike(rf"^(?:{_COUNTRIES})")),
+        lambda c: _vote(F.length(F.regexp_replace(c, " ", "")).between(15, 34)), checksum=lambda c: _vote(_mod97(c)), gazetteer=lambda c: _vote(c.rlike(rf"^(?:{_COUNTRIES})")),
     ),
     Kind(
         "name", rf"(?<![A-Za-z])(?:(?:{_TITLES})\.?|(?:{_GIVEN}))\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?(?![A-Za-z])", rf"(?:{_TITLES}|{_GIVEN})\.? [A-Z]", _always,
@@ -129,15 +146,16 @@ def _by_kind(value: Callable[[Kind], Column]) -> Column:
 
 
 def find_candidates(rows: DataFrame) -> DataFrame:
-    """(row key, kind, start, stop, votes and shape, is_base) of every match; stop is exclusive."""
+    """(row key, kind, start, stop, is_base, votes and features) of every match; stop is exclusive."""
     clean = rows.select(ROW, F.when(F.col("text").contains(_MARK), F.replace("text", F.lit(_MARK), F.lit(_OTHER))).otherwise(F.col("text")).alias("text"))
 
     def parts(k: Kind) -> Column:
         return F.when(F.col("text").rlike(k.trigger), F.split(F.regexp_replace("text", k.pattern, f"{_MARK}$0{_MARK}"), _MARK, -1))
 
     def item(p: Column, i: Column, whole: Column) -> Column:
-        before = F.when((i % 2 == 1), F.right(F.get(whole, i - 1), F.lit(CONTEXT)))
-        return F.struct(F.length(p).alias("size"), F.when(i % 2 == 1, p).alias("found"), before.alias("before"))
+        odd = i % 2 == 1
+        before, after = F.when(odd, F.right(F.get(whole, i - 1), F.lit(CONTEXT))), F.when(odd, F.left(F.get(whole, i + 1), F.lit(1)))
+        return F.struct(F.length(p).alias("size"), F.when(odd, p).alias("found"), before.alias("before"), after.alias("after"))
 
     split = clean.select(ROW, F.explode_outer(F.array(*(F.struct(F.lit(k.name).alias("kind"), parts(k).alias("parts")) for k in KINDS))).alias("k"))
     split = split.select(ROW, F.col("k.kind").alias("kind"), F.col("k.parts").alias("parts")).where(F.size("parts") > 1)
@@ -156,86 +174,112 @@ def find_candidates(rows: DataFrame) -> DataFrame:
         _by_kind(lambda k: k.checksum(found)).alias("v_checksum"),
         _by_kind(lambda k: k.gazetteer(found)).alias("v_gazetteer"),
         F.when(F.col("before").rlike(_CUES), 1).when(F.col("before").rlike(_ANTI_CUES), 0).alias("v_context"),
-        F.least(F.floor(F.log2(F.col("size").cast("double") + 1)), F.lit(6)).cast("int").alias("shape"),
+        *(v.alias(k) for k, v in _span_features(found).items()),
     )
 
 
-Pattern = tuple[str, tuple[int | None, ...], int]
+def _span_features(found: Column) -> dict[str, Column]:
+    """The classifier's features of a match and what stands around it, each of few values."""
+    groups = F.size(F.filter(F.split(found, "[^0-9]+"), lambda g: g != ""))
+    word = F.lower(F.regexp_extract("before", r"([A-Za-z]+)[^A-Za-z]{0,3}$", 1))
+    after = F.col("after")
+    return {
+        "f_groups": F.least(groups, F.lit(GROUPS - 1)),
+        "f_separator": F.when(found.contains("-"), 1).when(found.contains("."), 2).when(found.contains("("), 3).when(found.contains(" "), 4).otherwise(0),
+        "f_letters": F.when(found.rlike("[a-z]") & found.rlike("[A-Z]"), 3).when(found.rlike("[A-Z]"), 2).when(found.rlike("[a-z]"), 1).otherwise(0),
+        "f_before": F.when(word == "", -1).otherwise(F.pmod(F.xxhash64(word), F.lit(WORDS)).cast("int")),
+        "f_after": F.when(after.rlike("[0-9]"), 1).when(after.rlike("[A-Za-z]"), 2).when(after.isin(" ", "\n", ".", ",", "") | after.isNull(), 0).otherwise(3),
+    }
+
+
+Pattern = tuple[str, tuple[int | None, ...]]
 
 
-def estimate(patterns: dict[Pattern, int], rounds: int = 100) -> tuple[dict[Pattern, float], list[dict]]:
-    """Probability that spans of a pattern are personal, and each labeler's reliability (by EM).
+def estimate(patterns: dict[Pattern, int], rounds: int = 100) -> tuple[dict[Pattern, float], dict[str, list[dict]]]:
+    """Probability that spans of a pattern are personal, and each labeler's reliability per kind (by EM).
 
-    Labelers are independent given the class and the class share depends on the kind. Returned
-    reliabilities map (class, vote) to a probability; vote None is an abstention.
+    Each kind has its own reliabilities; with shared ones the classes would come to mean kinds. Both classes
+    are held to be equally frequent before any vote, so that a labeler that always votes alike ends up saying nothing.
+    Labelers are independent given the class, and an abstention says nothing. A reliability maps (class, vote)
+    to a probability; a labeler votes 1 on personal spans at least as often as on others.
     """
-    votes = (None, 0, 1)
-    table = [{(c, v): (0.6 if v == c else 0.1 if v == 1 - c else 0.3) for c in (0, 1) for v in votes} for _ in LABELERS]
-    share = {kind: 0.5 for kind, _, _ in patterns}
     post: dict[Pattern, float] = {}
-    for _ in range(rounds):
-        for p in patterns:
-            odds = math.log(share[p[0]] / (1 - share[p[0]]))
-            odds += sum(math.log(t[1, v] / t[0, v]) for t, v in zip(table, p[1], strict=True))
-            post[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        for kind in share:
-            own = [(post[p], n) for p, n in patterns.items() if p[0] == kind]
-            share[kind] = min(0.999, max(0.001, (1 + sum(q * n for q, n in own)) / (2 + sum(n for _, n in own))))
-        for at, t in enumerate(table):
-            for c in (0, 1):
-                mass = {v: 1.0 + 2.0 * (v == c) for v in votes}  # a prior that labelers are rather right
-                for p, n in patterns.items():
-                    mass[p[1][at]] += n * (post[p] if c else 1 - post[p])
-                total = sum(mass.values())
-                t.update({(c, v): m / total for v, m in mass.items()})
-    return post, table
-
-
-def _features(p: Pattern) -> list[str]:
-    kind, votes, shape = p
-    return ["bias", f"kind={kind}", f"shape={shape}", *(f"{name}={v}" for name, v in zip(LABELERS, votes, strict=True) if v is not None)]
-
-
-def train_classifier(patterns: dict[Pattern, int], post: dict[Pattern, float], steps: int = 400, decay: float = 1e-3) -> dict[str, float]:
-    """Weights of a logistic model of the soft labels, by gradient descent on pattern counts."""
-    weights = {f: 0.0 for p in patterns for f in _features(p)}
-    # every pattern counts, a frequent one by the logarithm of its spans
-    load = {p: 1 + math.log(n) for p, n in patterns.items()}
-    total = sum(load.values()) or 1.0
+    tables: dict[str, list[dict]] = {}
+    right, wrong = PRIOR
+    for kind in sorted({k for k, _ in patterns}):
+        own = {p: n for p, n in patterns.items() if p[0] == kind}
+        table = [{(c, v): (right if v == c else wrong) / (right + wrong) for c in (0, 1) for v in (0, 1)} for _ in LABELERS]
+        for _ in range(rounds):
+            for p in own:
+                odds = sum(math.log(t[1, v] / t[0, v]) for t, v in zip(table, p[1], strict=True) if v is not None)
+                post[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+            for at, t in enumerate(table):
+                mass = {(c, v): right if v == c else wrong for c in (0, 1) for v in (0, 1)}
+                for p, n in own.items():
+                    if p[1][at] is not None:
+                        mass[1, p[1][at]] += n * post[p]
+                        mass[0, p[1][at]] += n * (1 - post[p])
+                yes = {c: mass[c, 1] / (mass[c, 0] + mass[c, 1]) for c in (0, 1)}
+                if yes[1] < yes[0]:
+                    yes = dict.fromkeys((0, 1), (mass[0, 1] + mass[1, 1]) / sum(mass.values()))
+                t.update({(c, v): yes[c] if v else 1 - yes[c] for c in (0, 1) for v in (0, 1)})
+        tables[kind] = table
+    return post, tables
+
+
+Features = tuple[str, ...]
+
+
+def _named(kind: str, values: Features) -> list[str]:
+    """A row's active features: its kind, and each value by itself and within the kind."""
+    single = [f"{n}={v}" for n, v in zip(FEATURES, values, strict=True)]
+    return [f"kind={kind}", *single, *(f"{kind}:{f}" for f in single)]
+
+
+def train_classifier(rows: dict[tuple[str, Features], tuple[float, float]], steps: int = 1000, decay: float = 1.0) -> dict[str, float]:
+    """Weights of a logistic model, by gradient descent on (spans, sum of their probabilities) per row.
+
+    The penalty is that of `decay` spans, so features seen a few times only hardly count.
+    """
+    names = sorted({f for k, v in rows for f in _named(k, v)})
+    place = {f: i for i, f in enumerate(names)}
+    active = np.array([[place[f] for f in _named(k, v)] for k, v in rows])
+    load, mass = (np.array([r[i] for r in rows.values()], np.float64) for i in (0, 1))
+    weights, seen = np.zeros(len(names)), np.zeros(len(names))
+    np.add.at(seen, active, load[:, None])
+    pace = 1 / (active.shape[1] * seen / 4 + decay)  # each weight by the greatest curvature it can have
     for _ in range(steps):
-        grad = {f: decay * w for f, w in weights.items()}
-        for p, n in load.items():
-            z = sum(weights[f] for f in _features(p))
-            miss = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - post[p]
-            for f in _features(p):
-                grad[f] += miss * n / total
-        for f in weights:
-            weights[f] -= 2.0 * grad[f]
-    return weights
+        p = 1 / (1 + np.exp(-np.clip(weights[active].sum(axis=1), -30, 30)))
+        grad = decay * weights
+        np.add.at(grad, active, (load * p - mass)[:, None])
+        weights -= pace * grad
+    return dict(zip(names, weights.tolist(), strict=True))
 
 
 def score(weights: dict[str, float]) -> Column:
     """The classifier's probability, as an expression over a candidate's columns."""
-
-    def weight(name: str, column: Column) -> Column:
-        out = F.lit(0.0)
-        for f, w in weights.items():
-            if f.startswith(f"{name}="):
-                out = F.when(column.cast("string") == f.split("=", 1)[1], F.lit(w)).otherwise(out)
-        return out
-
-    z = F.lit(weights.get("bias", 0.0)) + sum((weight(name, F.col(name)) for name in ("kind", "shape", *LABELERS)), F.lit(0.0))
+    table = F.create_map(*(F.lit(x) for f, w in weights.items() for x in (f, w)))
+    single = [F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for n in FEATURES]
+    names = [F.concat(F.lit("kind="), F.col("kind")), *single, *(F.concat(F.col("kind"), F.lit(":"), s) for s in single)]
+    z = sum((F.coalesce(F.try_element_at(table, n), F.lit(0.0)) for n in names), F.lit(0.0))
     return 1 / (1 + F.exp(-z))
 
 
 def fit(candidates: DataFrame) -> dict[str, float]:
-    """Estimate reliabilities and train the classifier on all candidates' vote patterns."""
-    counted = candidates.groupBy("kind", "shape", *LABELERS).agg(F.count("*").alias("n")).collect()
-    patterns = {(r["kind"], tuple(r[v] for v in LABELERS), r["shape"]): r["n"] for r in sorted(counted, key=str)}
+    """Estimate reliabilities on all candidates' votes, and train the classifier on all their features."""
+    counted = candidates.groupBy("kind", *LABELERS).agg(F.count("*").alias("n")).collect()
+    patterns = {(r["kind"], tuple(r[v] for v in LABELERS)): r["n"] for r in sorted(counted, key=str)}
     if not patterns:
         return {}
     post, _ = estimate(patterns)
-    return train_classifier(patterns, post)
+    rows = [(k, *votes, p) for (k, votes), p in post.items()]
+    table = candidates.sparkSession.createDataFrame(rows, "kind string, " + ", ".join(f"{v} int" for v in LABELERS) + ", post double")
+    same = candidates["kind"] == table["kind"]
+    for v in LABELERS:
+        same = same & candidates[v].eqNullSafe(table[v])
+    # a row per vote pattern, whatever the corpus
+    soft = candidates.join(F.broadcast(table), same).groupBy(candidates["kind"], *FEATURES).agg(F.count("*").alias("n"), F.sum("post").alias("mass")).collect()
+    return train_classifier({(r["kind"], tuple(str(r[f]) for f in FEATURES)): (r["n"], r["mass"]) for r in sorted(soft, key=str)})
 
 
 def find_personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -38,7 +38,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scan_secrets(spark, _documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["kind"] != "random")
     counts = [_count_kind(F.col("spans"), k) for k in secret_scan.KINDS]
-    return out.select("doc_id", *counts, F.sha2(_located(base).cast("binary"), 256).alias("base_sha256"), _located(F.col("spans")).alias("spans"))
+    least = F.array_min(F.transform("spans", lambda s: s["p"]))
+    unlikely = F.size(F.filter("spans", lambda s: s["p"] <= 0.001)).cast("long")
+    return out.select(
+        "doc_id", *counts, F.sha2(_located(base).cast("binary"), 256).alias("base_sha256"), _located(F.col("spans")).alias("spans"), "n_tested", unlikely.alias("n_even"), least.alias("least_p")
+    )
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +77,12 @@ def _span_list(spans: Column) -> Column:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of each document."""
     out = pii.find_personal_data(spark, _documents(spark, sf_dir))
-    spans = F.transform("spans", lambda s: F.struct(pii.kind_order(s["kind"]).alias("order"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["is_base"].alias("is_base")))
+    spans = F.transform("spans", lambda s: F.struct(pii.kind_order(s["kind"]).alias("order"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["is_base"].alias("is_base"), s["score"].alias("score")))
     base = F.filter(F.col("every"), lambda s: s["is_base"])
     counts = [_count_kind(F.col("base"), k) for k in pii.BASE]
     out = out.withColumn("every", spans).withColumn("base", base)
-    return out.select("doc_id", *counts, F.sha2(_span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"), _span_list(F.col("every")).alias("spans"))
+    scores = F.array_join(F.transform(F.array_sort("every"), lambda s: F.round(s["score"], 4).cast("string")), ",")
+    return out.select("doc_id", *counts, F.sha2(_span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"), _span_list(F.col("every")).alias("spans"), scores.alias("scores"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
