@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from playlake.llm.scratch import ROW, Scratch, with_row
+from playlake.llm.scratch import ROW, Scratch, drop_rows, with_row
 
 SPAN = 13
 GRAM = 5
@@ -167,8 +167,13 @@ def _short_starts(worded: DataFrame, benchmark: Benchmark) -> DataFrame:
 
 def judge_documents(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """Row key, doc_id, n_words, n_hit, items (sorted as strings) and contaminated of each document."""
+    return judge_rows(spark, with_row(docs), items)
+
+
+def judge_rows(spark: SparkSession, keyed: DataFrame, items: DataFrame) -> DataFrame:
+    """`judge_documents` of rows that have their keys."""
     scratch = Scratch(spark, "decontamination")
-    rows, benchmark = with_row(docs).select(ROW, "doc_id", "text"), Benchmark(scratch, items)
+    rows, benchmark = keyed.select(ROW, "doc_id", "text"), Benchmark(scratch, items)
     screened = screen(scratch, rows, benchmark)
     hits = find_hits(scratch, rows, screened, benchmark)
     scratch.drop("keyed", "hit-words", "items", "item-windows", "item-short", "item-keys")
@@ -185,6 +190,4 @@ def judge_documents(spark: SparkSession, docs: DataFrame, items: DataFrame) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """`docs` without contaminated ones; all columns stay."""
-    docs = with_row(docs)
-    bad = judge_documents(spark, docs, items).where("contaminated").select(ROW)
-    return docs.join(bad, ROW, "left_anti").drop(ROW)
+    return drop_rows(spark, docs, lambda keyed: judge_rows(spark, keyed, items).where("contaminated"))

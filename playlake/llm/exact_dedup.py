@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlake.llm.fuse_filter import FuseFilter
-from playlake.llm.scratch import ROW, Scratch, with_row
+from playlake.llm.scratch import ROW, Scratch, drop_rows, with_row
 
 #: Distinct digests that a bucket holds on average; bounds the memory of one filter.
 BUCKET_KEYS = 100_000
@@ -121,8 +121,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Three of four rows, chosen by a hash of the doc_id, form the snapshot; the others arrive as a
     batch. Returns row key, doc_id, keep_id, group_size, kept, text_sha256, in_snapshot.
     """
+    return dedup_rows(spark, with_row(docs))
+
+
+def dedup_rows(spark: SparkSession, keyed: DataFrame) -> DataFrame:
+    """`exact_dedup` of rows that have their keys."""
     scratch = Scratch(spark, "exact-dedup")
-    docs = with_row(docs).select(ROW, "doc_id", "text")
+    docs = keyed.select(ROW, "doc_id", "text")
     digests = scratch.save(digest_documents(docs), "digests")
     is_new = F.pmod(F.xxhash64("doc_id"), F.lit(BATCH_SHARES)) == 0
     snapshot = Snapshot.build(digests.where(~is_new), scratch)
@@ -158,6 +163,4 @@ def _confirm(docs: DataFrame, digests: DataFrame, candidates: DataFrame) -> Data
 
 def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """`docs` without the rows that `exact_dedup` drops; all columns stay."""
-    docs = with_row(docs)
-    kept = exact_dedup(spark, docs).where("kept").select(ROW)
-    return docs.join(kept, ROW, "left_semi").drop(ROW)
+    return drop_rows(spark, docs, lambda keyed: dedup_rows(spark, keyed).where("not kept"))

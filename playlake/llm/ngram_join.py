@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from playlake.llm.components import components
-from playlake.llm.scratch import ROW, Scratch, with_row
+from playlake.llm.scratch import BROADCAST_KEYS, ROW, Scratch, drop_rows, with_row
 from playlake.llm.textkit import grams, hashes_of, mix
 
 WORDS = 5
@@ -64,8 +64,8 @@ PAIRS_PER_POSTING = 32
 LIST_ROWS = 1 << 12
 #: Partners of a pivot, or of a list's nodes, that go to one part.
 PARTNERS = 1_000
-#: Row keys up to which a set of nodes is broadcast to the scan of the texts.
-BROADCAST_NODES = 1_000_000
+#: Nodes up to which they are broadcast to the scan of the texts.
+BROADCAST_NODES = BROADCAST_KEYS
 
 
 def gram_set(text: bytes | None) -> np.ndarray:
@@ -330,8 +330,13 @@ class _Join:
 
 def similarity_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Row key, doc_id, n_shingles, class (a row key) and component_id of every document."""
+    return classes_of_rows(spark, with_row(docs))
+
+
+def classes_of_rows(spark: SparkSession, keyed: DataFrame) -> DataFrame:
+    """`similarity_classes` of rows that have their keys."""
     scratch = Scratch(spark, "ngram-join")
-    rows = with_row(docs).select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = keyed.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits = sketch_bits(rows.count())
     described = scratch.save(rows.select(ROW, "doc_id", "text").mapInArrow(_describe(bits), _SETS), "described")
     own = described.where("block is null").select(ROW, "doc_id", "n", "sig_a", "sig_b")
@@ -366,6 +371,4 @@ def _node_postings(rows: DataFrame, members: DataFrame, post) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """`docs` with one row of each similarity class, the one with the smallest doc_id."""
-    docs = with_row(docs)
-    kept = similarity_classes(spark, docs).where("stays").select(ROW)
-    return docs.join(kept, ROW, "left_semi").drop(ROW)
+    return drop_rows(spark, docs, lambda keyed: classes_of_rows(spark, keyed).where("not stays"))

@@ -152,6 +152,26 @@ def test_operators_on_reads_that_are_split_anew(spark, split_anew):
     assert {d: v for d, v in got.items() if d < 100} == brute.classes(near)
 
 
+@pytest.mark.parametrize("shape", ["repartitioned", "united", "joined", "keyed"])
+def test_stages_on_tables_that_are_not_stored(spark, docs, shape):
+    """Rows keep their keys between jobs, and clashing columns stay."""
+    two = docs.select("doc_id", "text")
+    shaped = {
+        "repartitioned": lambda: two.repartition(5),
+        "united": lambda: two.where("doc_id % 2 = 0").union(two.where("doc_id % 2 = 1")).repartition(3),
+        "joined": lambda: two.join(spark.range(2).withColumnRenamed("id", "twice")),
+        "keyed": lambda: two.withColumn(scratch.ROW, F.lit("mine")),
+    }[shape]()
+    rows = [(r["doc_id"], r["text"]) for r in shaped.collect()]
+    kept = exact_dedup.drop_copies(spark, shaped)
+    assert kept.columns == shaped.columns
+    groups = brute.equal_groups(rows)
+    got = [r["doc_id"] for r in kept.collect()]
+    assert sorted(got) == sorted(max(rows[i][0] for i in g) for g in groups.values())
+    if shape == "keyed":
+        assert {r[scratch.ROW] for r in kept.collect()} == {"mine"}
+
+
 def test_ngram_join(spark, docs):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similarity_classes(spark, docs).collect()}
     assert got == brute.classes(DOCS)
