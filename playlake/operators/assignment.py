@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from playlake.shipping import ship_package
 
@@ -51,18 +52,37 @@ def assign(score: np.ndarray) -> list[tuple[int, int]]:
     return [(int(r), int(c)) for c, r in enumerate(owner) if r < rows and c < columns and allowed[r, c]]
 
 
+#: Frames whose competing pairs one Python group solves together.
+GROUP_FRAMES = 64
+
+
+def solve_frames(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The chosen pairs of all frames of a group; a pair that occurs twice is refused."""
+    chosen = []
+    for _, frame in pairs.sort_values(["frame_id", "gt_id", "pred_id"]).groupby("frame_id"):
+        if frame.duplicated(["gt_id", "pred_id"]).any():
+            raise ValueError("assignment: a pair of ids occurs twice in a frame")
+        matrix = frame.pivot(index="gt_id", columns="pred_id", values="iou")
+        keys = {(matrix.index[r], matrix.columns[c]) for r, c in assign(matrix.to_numpy(float))}
+        chosen.append(frame[[k in keys for k in zip(frame["gt_id"], frame["pred_id"], strict=True)]])
+    return pd.concat(chosen) if chosen else pairs
+
+
 def assign_pairs(spark: SparkSession, pairs: DataFrame) -> DataFrame:
     """Of candidate pairs (run_id, frame_id, gt_id, pred_id, iou), the optimal assignment per frame.
 
-    A frame holds some tens of players, which bounds a group; frames are independent.
+    Pairs whose ends have no other candidate are taken as they are. Only the others, which compete, go to
+    Python, some frames at a time; a frame holds some tens of players, which bounds a group.
     """
     ship_package(spark)
+    frame = ["run_id", "frame_id"]
+    rivals = {side: F.count("*").over(Window.partitionBy(*frame, side)) for side in ("gt_id", "pred_id")}
+    held = pairs.repartition(*frame).withColumn("_g", rivals["gt_id"]).withColumn("_p", rivals["pred_id"])
+    alone = (F.col("_g") == 1) & (F.col("_p") == 1)
+    competing = held.where(~alone).select(*pairs.columns, F.floor(F.col("frame_id") / GROUP_FRAMES).alias("_group"))
 
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["gt_id", "pred_id"])
-        matrix = frame.pivot(index="gt_id", columns="pred_id", values="iou")
-        chosen = assign(matrix.to_numpy(float))
-        keys = {(matrix.index[r], matrix.columns[c]) for r, c in chosen}
-        return frame[[k in keys for k in zip(frame["gt_id"], frame["pred_id"], strict=True)]]
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        return solve_frames(group.drop(columns="_group"))
 
-    return pairs.groupBy("run_id", "frame_id").applyInPandas(solve, pairs.schema)
+    solved = competing.groupBy("run_id", "_group").applyInPandas(solve, pairs.schema)
+    return held.where(alone).select(*pairs.columns).unionByName(solved)

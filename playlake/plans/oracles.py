@@ -133,20 +133,6 @@ _NEAR = f"""{_FORMATION}, near AS (
     FROM s a JOIN s b ON a.run_id = b.run_id AND a.frame_id = b.frame_id AND a.team = b.team GROUP BY ALL
 )"""
 
-_BOXES = f"""{_S}, truth AS (
-    SELECT run_id, frame_id, track_id AS box_id, (track_id % 22 * 20 + k % 7)::DOUBLE AS x1, (k % 9 * 10)::DOUBLE AS y1, k FROM samples
-), predicted AS (
-    SELECT run_id, frame_id, track_id + (k % 13 = 0)::INT AS box_id, (track_id % 22 * 20 + k % 7 + k % 4)::DOUBLE AS x1, (k % 9 * 10 + k % 3)::DOUBLE AS y1, k FROM samples
-), sized AS (
-    SELECT t.run_id, t.frame_id, t.box_id AS gt_id, p.box_id AS pred_id, 15 + t.k % 5 AS tw, 30 + t.k % 11 AS th, 15 + p.k % 5 AS pw, 30 + p.k % 11 AS ph,
-           greatest(0, least(t.x1 + 15 + t.k % 5, p.x1 + 15 + p.k % 5) - greatest(t.x1, p.x1)) * greatest(0, least(t.y1 + 30 + t.k % 11, p.y1 + 30 + p.k % 11) - greatest(t.y1, p.y1)) AS i
-    FROM truth t JOIN predicted p USING (run_id, frame_id)
-), pairs AS (
-    SELECT run_id, frame_id, gt_id, pred_id, round(i / (tw * th + pw * ph - i), 6) AS iou FROM sized WHERE round(i / (tw * th + pw * ph - i), 6) >= 0.5
-), best AS (
-    SELECT run_id, frame_id, gt_id, pred_id, iou FROM pairs QUALIFY row_number() OVER (PARTITION BY run_id, frame_id, gt_id ORDER BY iou DESC, pred_id) = 1
-)"""
-
 SQL: dict[str, str] = {
     "motion_evidence": f"{_EVIDENCE} SELECT run_id, play_id, frame_id, n_usable, n_moving, round(moving_fraction, 6) AS moving_fraction, coordinate_frame_id, coordinate_segment FROM evidence",
     "exclusion_totals": f"""{_SP} SELECT p.run_id, play_id, count(DISTINCT track_id) AS n_tracks, count(*) AS n_samples, count(*) FILTER (b = 'usable') AS n_usable, count(*) FILTER (b = 'dead_reckoning') AS n_dead_reckoning,
@@ -272,19 +258,6 @@ SQL: dict[str, str] = {
         SELECT * FROM l WHERE latency > 0""",
     "csv_guard": """WITH c AS (SELECT n_nationkey, ['=', '+', '-', '@', ' =', 'x'][n_nationkey % 6 + 1] || n_name AS cell FROM nation)
         SELECT n_nationkey, CASE WHEN left(ltrim(cell), 1) IN ('=', '+', '-', '@') THEN '''' || cell ELSE cell END AS cell FROM c""",
-    "iou_pairs": f"{_BOXES} SELECT * FROM pairs",
-    "best_track_per_gt": f"{_BOXES} SELECT * FROM best",
-    "id_switches": f"""{_BOXES}, l AS (SELECT *, lag(pred_id) OVER w AS b, frame_id - lag(frame_id) OVER w AS gap FROM best WINDOW w AS (PARTITION BY run_id, gt_id ORDER BY frame_id))
-        SELECT run_id, gt_id, count(*) FILTER (b <> pred_id) AS switches, count(*) FILTER (gap > 1) AS fragments, count(*) AS n_matched FROM l GROUP BY ALL""",
-    "dominant_track": f"""{_BOXES}, n AS (SELECT run_id, gt_id, pred_id, count(*) AS n FROM best GROUP BY ALL)
-        SELECT run_id, gt_id, pred_id, n FROM n QUALIFY row_number() OVER (PARTITION BY run_id, gt_id ORDER BY n DESC, pred_id) = 1""",
-    "detection_rates": f"""{_BOXES}, t AS (SELECT run_id, count(*) AS nt FROM truth GROUP BY 1), p AS (SELECT run_id, count(*) AS np FROM predicted GROUP BY 1),
-        m AS (SELECT run_id, count(DISTINCT (frame_id, pred_id)) AS tp FROM best GROUP BY 1)
-        SELECT run_id, coalesce(tp, 0) AS tp, np - coalesce(tp, 0) AS fp, nt - coalesce(tp, 0) AS fn, round(coalesce(tp, 0)::DOUBLE / nullif(np, 0), 6) AS "precision",
-               round(coalesce(tp, 0)::DOUBLE / nullif(nt, 0), 6) AS recall FROM t JOIN p USING (run_id) LEFT JOIN m USING (run_id)""",
-    "field_error_percentiles": f"""{_S}, r AS (SELECT run_id, CASE WHEN {_USABLE} THEN abs(y_yd - (track_id - 1) * 7 % 54) END AS error FROM samples)
-        SELECT run_id, count(*) AS n_truth, count(error) AS n_scored, round(median(error), 6) AS median_error, round(quantile_cont(error, 0.95), 6) AS p95_error,
-               round(sqrt(avg(error * error)), 6) AS rmse, round(count(*) FILTER (error <= 1.0)::DOUBLE / count(*), 6) AS within FROM r GROUP BY run_id""",
     "homography_project": f"""{_S}, j AS (
             SELECT run_id, track_id, frame_id, x_yd AS u, y_yd AS v, n_nationkey::DOUBLE AS a, 1 + 2.5::DOUBLE * (1 - least(greatest(k / 100.0::DOUBLE, 0.45::DOUBLE), 1.0::DOUBLE)) AS f
             FROM samples JOIN nation ON n_nationkey = run_id % 25 WHERE x_yd IS NOT NULL

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playlake import domain
 from playlake.functions import geometry
-from playlake.operators import assignment, evidence, events, formations, play, predicates, reports, routes, scoring, segments, windows
+from playlake.operators import evidence, events, formations, play, reports, routes, segments, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,15 +19,6 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("run_id", "track_id", "frame_id", F.when(F.col("track_state") == "observed", 1).otherwise(0).alias("observed"), (F.col("k") / F.lit(100.0)).alias("confidence"), "x_yd", "y_yd")
 
 
-def _boxes(spark: SparkSession, sf_dir: str, shifted: bool) -> DataFrame:
-    s, k = domain.samples(spark, sf_dir), F.col("k")
-    dx, dy = (k % 4, k % 3) if shifted else (F.lit(0), F.lit(0))
-    box_id = F.col("track_id") + F.when(k % 13 == 0, 1).otherwise(0) if shifted else F.col("track_id")
-    x1 = ((F.col("track_id") % 22) * 20 + k % 7 + dx).cast("double")
-    y1 = ((k % 9) * 10 + dy).cast("double")
-    return s.select("run_id", "frame_id", box_id.alias("box_id"), x1.alias("x1"), y1.alias("y1"), (x1 + 15 + k % 5).alias("x2"), (y1 + 30 + k % 11).alias("y2"))
-
-
 def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     s = domain.samples(spark, sf_dir)
     closed = windows.closed_windows(domain.plays(s), s)
@@ -218,41 +209,6 @@ def csv_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_nationkey", cell.alias("cell")).select("n_nationkey", reports.guard_csv("cell").alias("cell"))
 
 
-def assignment_per_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loose = scoring.iou_pairs(_boxes(spark, sf_dir, False), _boxes(spark, sf_dir, True), 0.05)
-    return assignment.assign_pairs(spark, loose)
-
-
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.iou_pairs(_boxes(spark, sf_dir, False), _boxes(spark, sf_dir, True), 0.5)
-
-
-def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir)
-
-
-def best_track_per_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.best_prediction(_pairs(spark, sf_dir))
-
-
-def id_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.identity_switches(scoring.best_prediction(_pairs(spark, sf_dir)))
-
-
-def dominant_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.dominant_tracks(scoring.best_prediction(_pairs(spark, sf_dir)))
-
-
-def detection_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.detection_rates(_boxes(spark, sf_dir, False), _boxes(spark, sf_dir, True), scoring.best_prediction(_pairs(spark, sf_dir)))
-
-
-def field_error_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = domain.samples(spark, sf_dir)
-    error = F.when(predicates.is_usable(), F.abs(F.col("y_yd") - (F.col("track_id") - 1) * 7 % 54))
-    return scoring.error_percentiles(s.select("run_id", error.alias("error")), 1.0)
-
-
 def homography_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = domain.samples(spark, sf_dir).where("x_yd is not null")
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("double").alias("a"), F.col("n_nationkey").cast("int").alias("cal"))
@@ -268,9 +224,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         motion_evidence, evidence_buckets, exclusion_totals, evidence_totals, snap_onset, play_end, play_metrics, play_segments, segment_refusals, segment_counters, segment_durations,
-        segment_of_frames, frame_phase_counts, play_records, timeline, unavailable_kinds, label_violations, trajectory_counters, review_diagnostics, assignment_per_frame, route_segments,
+        segment_of_frames, frame_phase_counts, play_records, timeline, unavailable_kinds, label_violations, trajectory_counters, review_diagnostics, route_segments,
         route_status, line_crossings, presnap_motion, nearest_defender, sideline_exits, formation_status, formation_shape, nearest_teammate, box_count, report_tracks, report_coverage,
-        report_runs, missing_frames, label_overlap, window_semi, longest_observed_run, recovery_latency, csv_guard, iou_pairs, best_track_per_gt, id_switches, dominant_track, detection_rates,
-        field_error_percentiles, homography_project,
+        report_runs, missing_frames, label_overlap, window_semi, longest_observed_run, recovery_latency, csv_guard, homography_project,
     )
 }
