@@ -82,6 +82,7 @@ def footpoints(boxes: DataFrame, width: int, height: int) -> DataFrame:
         (F.col("hidden").isNotNull() | flag("player_crossing")).alias("is_player_crossing"),
         (hidden | flat | low).alias("is_temporarily_occluded"),
         F.col("reason").alias("unreliable_reason"),
+        F.col("confidence").alias("detection_confidence"),
     )
 
 

@@ -109,10 +109,11 @@ def project_footpoints(footpoints: DataFrame, calibrations: DataFrame) -> DataFr
 def field_covariances(footpoints: DataFrame, calibrations: DataFrame, drift_yd: float = 0.25) -> DataFrame:
     """Covariance of each projectable footpoint's field position, inflated for doubt and drift, and its ellipse.
 
-    Propagated geometry adds its drift for each frame of its age. `footpoints` also has the box's y1 and y2.
+    Propagated geometry adds its drift for each frame of its age. `footpoints` also has the box's y1, y2 and
+    detection_confidence.
     """
     j = footpoints.join(calibrations, FRAME).where(can_project())
-    px = geometry.footpoint_covariance(F.col("y1"), F.col("y2"), F.col("foot_confidence"))
+    px = geometry.footpoint_covariance(F.col("y1"), F.col("y2"), F.col("detection_confidence"))
     j = j.withColumns(dict(zip(("pxx", "pxy", "pyy"), px, strict=True)))
     j = j.withColumns(dict(zip(("ja", "jb", "jc", "jd"), geometry.jacobian(homography(), F.col("u"), F.col("v")), strict=True)))
     moved = geometry.propagate(tuple(F.col(c) for c in ("ja", "jb", "jc", "jd")), (F.col("pxx"), F.col("pxy"), F.col("pyy")), geometry.confidence_inflation(F.col("confidence")), 0.0)

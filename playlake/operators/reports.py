@@ -31,13 +31,18 @@ def coverage_report(observations: DataFrame) -> DataFrame:
     )
 
 
-def run_report(observations: DataFrame) -> DataFrame:
-    """Frames and tracks of each run."""
-    return observations.groupBy("run_id").agg(F.countDistinct("frame_id").alias("n_frames"), F.countDistinct("track_id").alias("n_tracks"))
+def run_report(runs: DataFrame, frames: DataFrame, tracks: DataFrame, run_id=None) -> DataFrame:
+    """Runs with their counts of frames and tracks; with a run_id only those of the same video, by run_id."""
+    if run_id is not None:
+        runs = runs.join(runs.where(F.col("run_id") == run_id).select("video_sha256"), "video_sha256", "left_semi")
+    n = [t.groupBy("run_id").agg(F.count("*").alias(name)) for t, name in ((frames, "frames_processed"), (tracks, "track_count"))]
+    keep = [c for c in ("run_id", "video_sha256", "fps", "source_kind", "pipeline_sha256") if c in runs.columns]
+    counted = runs.select(*keep).join(n[0], "run_id", "left").join(n[1], "run_id", "left").fillna(0, ["frames_processed", "track_count"])
+    return counted.orderBy("run_id")
 
 
 def missing_frames(observations: DataFrame) -> DataFrame:
-    """Frames within a run's span at which a track that lives then has no observation."""
+    """Frames within a track's life at which it isn't observed."""
     span = observations.groupBy("run_id", "track_id").agg(F.min("frame_id").alias("lo"), F.max("frame_id").alias("hi"))
     every = span.select("run_id", "track_id", F.explode(F.sequence("lo", "hi")).alias("frame_id"))
     seen = observations.where("observed = 1").select("run_id", "track_id", "frame_id")

@@ -60,7 +60,7 @@ def box_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def footpoint_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _footpoints(spark, sf_dir).drop("x1", "y1", "x2", "y2")
+    return _footpoints(spark, sf_dir).drop("x1", "y1", "x2", "y2", "detection_confidence")
 
 
 def project_footpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +230,7 @@ SQL: dict[str, str] = {
                CASE WHEN projection_status = 'projected' THEN round(foot_confidence, 4) END AS footpoint_confidence, CASE WHEN projection_status = 'projected' AND x_coord_mode = 'absolute' THEN round(x, 3) END AS absolute_yardline,
                CASE WHEN projection_status <> 'projected' THEN 0 ELSE CASE x_coord_mode WHEN 'absolute' THEN 17 WHEN 'relative_10yd' THEN 13 ELSE 12 END END AS n_valid_metrics FROM s""",
     "field_covariances": f"""{_C}, {BOXES_SQL}, {_FEET}, j AS (SELECT f.run_id, f.frame_id, box_id, u, v, c.*, {_FX} AS fx, {_FY} AS fy, h6 * u + h7 * v + h8 AS w, 1 + 2.5::DOUBLE * (1 - c.confidence) AS infl, CASE WHEN is_propagated THEN propagation_age ELSE 0 END * 0.25::DOUBLE AS drift,
-            greatest(0.30::DOUBLE, greatest(0.5::DOUBLE, greatest(1.0::DOUBLE, y2 - y1) / 50) * (1 + 1.5::DOUBLE * greatest(0.0::DOUBLE, 1 - foot_confidence))) AS sg FROM feet f JOIN gated c ON f.run_id = c.run_id AND f.frame_id = c.frame_id WHERE ok
+            greatest(0.30::DOUBLE, greatest(0.5::DOUBLE, greatest(1.0::DOUBLE, y2 - y1) / 50) * (1 + 1.5::DOUBLE * greatest(0.0::DOUBLE, 1 - f.confidence))) AS sg FROM feet f JOIN gated c ON f.run_id = c.run_id AND f.frame_id = c.frame_id WHERE ok
         ), q AS (SELECT *, 0.49::DOUBLE * sg * sg AS c_xx, 0.14::DOUBLE * sg * sg AS c_xy, sg * sg AS c_yy FROM j
         ), p AS (SELECT *, greatest(mean + root, 0.0225::DOUBLE) AS hi, greatest(mean - root, 0.0225::DOUBLE) AS lo FROM ({_PSD.format('q')})
         ), r AS (SELECT * EXCLUDE (c_xx, c_xy, c_yy, mean, root, hi, lo), (hi + lo) / 2 + (hi - lo) / 2 * ((c_xx - c_yy) / 2 / root) AS pxx, (hi - lo) / 2 * (c_xy / root) AS pxy, (hi + lo) / 2 - (hi - lo) / 2 * ((c_xx - c_yy) / 2 / root) AS pyy FROM p

@@ -246,7 +246,8 @@ SQL: dict[str, str] = {
         (max(frame_id) - min(frame_id) + 1 - sum(observed))::BIGINT AS n_unobserved, round(avg(confidence) FILTER (observed = 1), 6) AS mean_confidence FROM obs GROUP BY ALL""",
     "report_coverage": f"""{_OBS} SELECT count(*) AS n_rows, coalesce(sum(observed), 0)::BIGINT AS n_observed, count(*) FILTER (observed = 1 AND x_yd IS NOT NULL) AS n_positioned,
         round(count(*) FILTER (observed = 1 AND x_yd IS NOT NULL)::DOUBLE / nullif(sum(observed), 0), 6) AS coverage FROM obs""",
-    "report_runs": f"{_OBS} SELECT run_id, count(DISTINCT frame_id) AS n_frames, count(DISTINCT track_id) AS n_tracks FROM obs GROUP BY ALL",
+    "report_runs": f"""{_S}, runs AS (SELECT DISTINCT run_id, (run_id // 3)::VARCHAR AS video_sha256 FROM samples) SELECT r.run_id, r.video_sha256, (SELECT count(DISTINCT frame_id) FROM samples s WHERE s.run_id = r.run_id) AS frames_processed,
+        (SELECT count(DISTINCT track_id) FROM samples s WHERE s.run_id = r.run_id) AS track_count FROM runs r WHERE r.video_sha256 = (SELECT video_sha256 FROM runs WHERE run_id = 0)""",
     "missing_frames": f"""{_OBS}, s AS (SELECT run_id, track_id, unnest(generate_series(min(frame_id), max(frame_id))) AS frame_id FROM obs GROUP BY run_id, track_id)
         SELECT run_id, track_id, frame_id FROM s ANTI JOIN (SELECT * FROM obs WHERE observed = 1) USING (run_id, track_id, frame_id)""",
     "label_overlap": f"""{_SP}, l AS (SELECT *, lag(end_frame) OVER w AS b, lead(start_frame) OVER w AS n FROM plays WINDOW w AS (PARTITION BY run_id ORDER BY start_frame, play_id)), v AS (
