@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _parts():
-    from playlake.plans import image_queries, oracles, queries, scoring_queries
+    from playlake.plans import fold_queries, image_queries, oracles, queries, scoring_queries
 
-    return (queries.QUERIES, oracles.SQL), (image_queries.QUERIES, image_queries.SQL), (scoring_queries.QUERIES, scoring_queries.SQL)
+    return (queries.QUERIES, oracles.SQL), (image_queries.QUERIES, image_queries.SQL), (scoring_queries.QUERIES, scoring_queries.SQL), (fold_queries.QUERIES, fold_queries.SQL)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
