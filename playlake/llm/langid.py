@@ -37,6 +37,8 @@ ORDERS = (1, 2, 3)
 #: Labelled rows that training expects over all languages, and of each; no language gets less than one.
 SAMPLE_ROWS = 6_000
 SAMPLE_PER_LANGUAGE = 600
+#: Label values up to which their counts are broadcast to the rows, so that no text is shuffled by its label.
+BROADCAST_LANGUAGES = 100_000
 #: Code points of a text that are held as numbers at once.
 PIECE = 1 << 20
 #: Passes over the training rows, and gradient steps, at least.
@@ -230,6 +232,8 @@ def sample_rows(labelled: DataFrame) -> list[Counted]:
     if not languages:
         return []
     per = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // languages))
+    if languages <= BROADCAST_LANGUAGES:
+        counts = F.broadcast(counts)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     rows = labelled.join(counts, "lang").where(draw * F.col("n") < per).select("text", "lang")
     taken = rows.mapInArrow(_count_batches, "ids binary, counts binary, lang string, check long").collect()
