@@ -108,7 +108,8 @@ class Benchmark:
         self.windows = scratch.save(windows.distinct().withColumn("window_key", F.xxhash64("window")), "item-windows")
         self.short = scratch.save(short.select("item_id", F.col("words").alias("window"), F.xxhash64("anchor").alias("key"), "at"), "item-short")
         self.has_short = bool(self.short.limit(1).count())
-        prints = with_prints(rows).select(F.explode("prints").alias("key")).distinct()
+        # the outer form: the plain one filters by the array's size, and the optimizer would write out all steps for that
+        prints = with_prints(rows).select(F.explode_outer("prints").alias("key")).where("key is not null").distinct()
         self.keys = scratch.save(prints.union(self.short.select("key")).distinct().withColumn("known", F.lit(True)), "item-keys")
 
 
