@@ -55,7 +55,7 @@ def unpack_sorted(body: bytes) -> np.ndarray:
 class Chunk:
     """The documents of a chunk in order, and the hashes of their words in one array."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, hashed: bool = True):
         ids = [(-(1 << 63) if d is None else d) for d in rows.column("doc_id").to_pylist()]
         keys = rows.column(ROW).to_pylist()
         order = sorted(range(len(keys)), key=lambda i: (ids[i], keys[i]))
@@ -65,7 +65,7 @@ class Chunk:
         self.words = [(texts[i] or b"").split() for i in order]
         self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))
-        self.hashes = np.concatenate([hashes_of(w) for w in self.words] or [np.zeros(0, np.uint64)])
+        self.hashes = np.concatenate([hashes_of(w) for w in self.words if hashed] or [np.zeros(0, np.uint64)])
         self.doc = np.repeat(np.arange(len(self.words)), self.lengths)
 
     def whole(self, n: int) -> np.ndarray:
@@ -152,7 +152,10 @@ _WINDOWS = np.dtype([("a", "<u8"), ("b", "<u4"), ("id", "<i8"), ("row", "<i8"),
 
 
 def _extend(parts: int):
-    """Chunk to parts: the first occurrence in the chunk of each window around its hits."""
+    """Chunk to parts: the first occurrence in the chunk of each window around its hits.
+
+    The later ones go to a part of the chunk's own, which hands them on.
+    """
 
     def run(rows: pa.Table, hits: pa.Table) -> pa.Table:
         if not rows.num_rows or not hits.num_rows:
@@ -167,6 +170,7 @@ def _extend(parts: int):
         at = at[hit[at + WINDOW - BLOCK + 1] > hit[at]]
         a, b = _window_prints(chunk, at)
         order, new = _firsts(a, b, at)
+        repeats = np.sort(at[order[~new]])
         order = order[new]  # ascending in a, hence in the part
         out = np.zeros(len(order), _WINDOWS)
         doc = chunk.doc[at[order]]
@@ -177,7 +181,9 @@ def _extend(parts: int):
         for _, lo, hi in cuts:
             own = np.sort(out[lo:hi], order="at")  # by document, whose keys then repeat and compress
             bodies.append(b"".join(own[c].tobytes() for c in _WINDOWS.names))
-        return _messages([p for p, _, _ in cuts], [number] * len(cuts), bodies, [b""] * len(cuts))
+        own_part = [parts + number] if len(repeats) else []
+        targets = [p for p, _, _ in cuts] + own_part
+        return _messages(targets, [number] * len(targets), bodies + [pack_sorted(repeats) for _ in own_part], [b""] * len(targets))
 
     return run
 
@@ -192,36 +198,39 @@ def _unpack_windows(body: bytes) -> np.ndarray:
     return out
 
 
-def _later(windows: pa.Table) -> pa.Table:
-    """Part to chunks: places of windows that start earlier in another chunk."""
-    bodies = [_unpack_windows(b) for b in windows.column("body").to_pylist()]
-    every = np.concatenate(bodies)
-    sender = np.repeat(np.arange(len(bodies)), [len(b) for b in bodies])
-    order, new = _firsts(every["a"], every["b"], every["id"], every["row"], every["at"])
-    late = np.zeros(len(every), bool)
-    late[order] = ~new
-    part, chunks, out = windows.column("part")[0].as_py(), windows.column("chunk").to_pylist(), []
-    for i in np.unique(sender[late]).tolist():
-        own = late[sender == i]
-        out.append((i, pack_sorted(np.sort(bodies[i]["at"][own]))))
-    return _messages([part] * len(out), [chunks[i] for i, _ in out], [b for _, b in out], [b""] * len(out))
+def _later(parts: int):
+    """Part to chunks: places of windows that start earlier in another chunk, or in the same one."""
+
+    def run(windows: pa.Table) -> pa.Table:
+        part, chunks = windows.column("part")[0].as_py(), windows.column("chunk").to_pylist()
+        if part >= parts:
+            return windows.select(["part", "chunk", "body", "flags"])
+        bodies = [_unpack_windows(b) for b in windows.column("body").to_pylist()]
+        every = np.concatenate(bodies)
+        sender = np.repeat(np.arange(len(bodies)), [len(b) for b in bodies])
+        order, new = _firsts(every["a"], every["b"], every["id"], every["row"], every["at"])
+        late = np.zeros(len(every), bool)
+        late[order] = ~new
+        out = []
+        for i in np.unique(sender[late]).tolist():
+            own = late[sender == i]
+            out.append((i, pack_sorted(np.sort(bodies[i]["at"][own]))))
+        return _messages([part] * len(out), [chunks[i] for i, _ in out], [b for _, b in out], [b""] * len(out))
+
+    return run
 
 
 _RESULT = f"{ROW} long, doc_id long, n_words long, n_removed long, removed array<struct<start:long,stop:long>>, kept_text string"
 
 
 def _cut(rows: pa.Table, late: pa.Table) -> pa.Table:
-    """Remove every word that a late window covers, or a window that repeats within the chunk."""
-    chunk = Chunk(rows)
-    at = chunk.whole(WINDOW)
-    a, b = _window_prints(chunk, at)
-    order, new = _firsts(a, b, at)
-    gone = np.zeros(len(chunk.hashes) + 1, np.int64)
-    gone[at[order[~new]]] = 1
+    """Remove every word that a late window covers."""
+    chunk = Chunk(rows, hashed=False)
+    gone = np.zeros(len(chunk.doc) + 1, np.int64)
     for body in late.column("body").to_pylist():
         gone[unpack_sorted(body)] = 1
     starts = np.flatnonzero(gone)
-    edge = np.zeros(len(chunk.hashes) + 1, np.int64)
+    edge = np.zeros(len(chunk.doc) + 1, np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + WINDOW, -1)
     covered = np.cumsum(edge)[:-1] > 0
@@ -260,5 +269,5 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64(ROW), F.lit(chunks))).repartition(chunks, "chunk")
     hits = rows.groupBy("chunk").applyInArrow(_ask(parts), _MESSAGE).groupBy("part").applyInArrow(_answer, _MESSAGE)
     windows = rows.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_extend(parts), _MESSAGE)
-    late = windows.groupBy("part").applyInArrow(_later, _MESSAGE)
+    late = windows.groupBy("part").applyInArrow(_later(parts), _MESSAGE)
     return rows.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(_cut, _RESULT)
