@@ -426,3 +426,15 @@ def smoothed_image_error(tracks: DataFrame, weight: float = 0.5) -> DataFrame:
 def same_rows(first: DataFrame, second: DataFrame) -> DataFrame:
     """Rows that two runs of the same computation don't have in common; there must be none."""
     return first.exceptAll(second).withColumn("side", F.lit("first")).unionByName(second.exceptAll(first).withColumn("side", F.lit("second")))
+
+
+def sweep(evaluate, variants: list[dict]) -> DataFrame:
+    """Results of `evaluate` for each variant of its parameters, side by side, with the parameters as columns.
+
+    Samples that tune must not be those that are reported: leave the test split out before.
+    """
+    done = [evaluate(**v).withColumns({f"p_{k}": F.lit(x) for k, x in v.items()}) for v in variants]
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
