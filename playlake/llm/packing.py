@@ -20,6 +20,7 @@ null doc_id is kept; an empty table gives no sequences; extra columns are ignore
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import sys
 import zlib
@@ -92,7 +93,8 @@ class Tokenizer:
     """A byte-level BPE tokenizer read from a file, with a cache of the units that words form.
 
     Units are merged by a second public implementation of the same vocabulary, which is several times
-    as fast on short strings; texts that hold one of the special tokens go to the first as a whole.
+    as fast on short strings; texts that hold one of the special tokens go to the first as a whole. The second
+    one merges by the tokens' ids, so a vocabulary whose ids don't ascend with its merges is refused.
     """
 
     def __init__(self, path: str):
@@ -101,12 +103,20 @@ class Tokenizer:
 
         self.whole = Rust.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self._check_merges()
         alphabet = _byte_alphabet()
         ranks = {bytes(alphabet[c] for c in token): i for token, i in self.whole.get_vocab(with_added_tokens=False).items() if token not in self.special}
         fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.encode_plain = lambda text: _as_bytes(fast.encode_ordinary(text))
         self.units = UnitTokens(self.encode_plain)
 
+    def _check_merges(self) -> None:
+        vocabulary = self.whole.get_vocab(with_added_tokens=False)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in json.loads(self.whole.to_str())["model"]["merges"]]
+        ids = [vocabulary[a + b] for a, b in merges]
+        if any(x >= y for x, y in itertools.pairwise(ids)):
+            raise ValueError("tokenizer: the vocabulary's ids don't ascend with its merges")
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
