@@ -29,6 +29,11 @@ class CalibrationConfig:
     width: float = 900.0
     height: float = 506.0
 
+    def __post_init__(self) -> None:
+        shares = (self.smoothing, self.decay, self.min_confidence)
+        if not all(0 <= s <= 1 for s in shares) or self.max_age < 0 or not min(self.max_jump_yd, self.width, self.height) > 0:
+            raise ValueError("calibration: shares lie within 0 and 1, and lengths are positive")
+
 
 def _apply(h: np.ndarray, points: np.ndarray) -> np.ndarray:
     mapped = np.column_stack([points, np.ones(len(points))]) @ h.T

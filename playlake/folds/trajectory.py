@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from playlake.folds.ordered import fold_in_order
+from playlake.folds.ordered import fold_in_order, fold_stream
 from playlake.operators.projection import field_covariances, geometry_state, project_footpoints
 
 #: Fixed value: why a measurement is rejected.
@@ -229,3 +229,8 @@ def build_trajectories(measured: DataFrame, config: TrajectoryConfig = Trajector
 def trajectory_modes(samples: DataFrame) -> DataFrame:
     """The one mode of each track; tracks of several modes are uncalibrated."""
     return samples.groupBy("run_id", "track_id").agg(F.when(F.min("x_coord_mode") == F.max("x_coord_mode"), F.min("x_coord_mode")).otherwise("uncalibrated").alias("x_coord_mode"), F.count("*").alias("n_samples"))
+
+
+def trajectory_stream(measured: DataFrame, config: TrajectoryConfig = TrajectoryConfig()) -> DataFrame:
+    """The same over a stream of rows as `measurements` gives, whose n_cuts must count all cuts of the run so far."""
+    return fold_stream(measured, ["run_id", "track_id"], "frame_id", SAMPLES, lambda: Trajectory(config))

@@ -101,3 +101,23 @@ def write_review(spark: SparkSession, samples: DataFrame, labels: DataFrame, run
         shutil.rmtree(folder)
         raise
     return document
+
+
+def write_annotation_template(path: Path, video_sha256: str, source_kind: str, split: str, frames: list[int]) -> None:
+    """A new document to be filled in by hand: chosen frames without players, none of them exhaustive yet."""
+    if len(video_sha256) != 64 or source_kind not in ("real", "synthetic") or split not in ("dev", "test") or not frames or min(frames) < 0:
+        raise ValueError("template: a video digest, source_kind, split and frames from 0 are needed")
+    head = {"schema_version": 1, "video_sha256": video_sha256, "source_kind": source_kind, "split": split, "annotation_method": "independent_manual"}
+    write_json(path, {**head, "frames": [{"frame_id": f, "exhaustive": False, "players": []} for f in sorted(set(frames))]})
+
+
+def write_tables(path: Path, title: str, sections: dict[str, DataFrame], most_rows: int = 1000) -> None:
+    """A new Markdown report of small tables, such as scores per split; a longer one is refused, not cut."""
+    parts = [f"# {html.escape(title)}"]
+    for name, table in sections.items():
+        rows = [r.asDict() for r in table.limit(most_rows + 1).collect()]
+        if len(rows) > most_rows:
+            raise ValueError(f"report: {name} has more than {most_rows} rows")
+        parts += [f"## {html.escape(name)}", markdown_table(tuple(table.columns), rows)]
+    with path.open("x") as f:
+        f.write("\n\n".join(parts) + "\n")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from playlake.folds.calibration import propagate_stream
 from playlake.folds.tracker import track_stream
+from playlake.folds.trajectory import trajectory_stream
 
-__all__ = ["count_observed", "propagate_stream", "read_table", "track_stream"]
+__all__ = ["count_observed", "propagate_stream", "read_table", "track_stream", "trajectory_stream"]
 
 
 def read_table(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:

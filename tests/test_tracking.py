@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from playlake.functions import geometry
 from playlake.operators import assignment, evidence, reports, routes
-from playlake.plans import oracles, queries
+from playlake.plans import all_queries, all_sql
 from playlake.sources import labels
 
 SF = "/root/testdata/sf0.001"
@@ -30,12 +30,12 @@ def _rows(frame: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(plain(v) for v in r) for r in frame[columns].itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(oracles.SQL))
+@pytest.mark.parametrize("name", sorted(all_sql()))
 def test_query_equals_sql(spark, name):
     connection = duckdb.connect()
     for path in Path(SF).glob("*.parquet"):
         connection.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
-    ours, theirs = queries.QUERIES[name](spark, SF).toPandas(), connection.sql(oracles.SQL[name]).df()
+    ours, theirs = all_queries()[name](spark, SF).toPandas(), connection.sql(all_sql()[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert len(ours) == len(theirs)
     for a, b in zip(_rows(ours), _rows(theirs), strict=True):
