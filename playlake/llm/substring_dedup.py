@@ -32,7 +32,7 @@ from playlake.shipping import ship_package
 WINDOW = 20
 BLOCK = 10
 #: Bytes of text in a chunk, and probes in a part of the hash space, on average.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 PART_PROBES = 2_000_000
 #: Bytes per word, blank included, assumed when parts are counted.
 WORD_BYTES = 6

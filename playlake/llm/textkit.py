@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 #: Entries that a worker's word cache may hold before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 #: Odd multipliers of the n-gram polynomials, 3 modulo 8.
 GRAM_BASE = np.uint64(0x9E3779B97F4A7C1B)
