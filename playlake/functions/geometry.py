@@ -20,6 +20,19 @@ Box = tuple[Column, Column, Column, Column]
 Cov = tuple[Column, Column, Column]
 
 
+def rounded(c: Column, places: int) -> Column:
+    """A number rounded half away from zero at the product with a power of ten, as SQL engines do.
+
+    Spark's own rounding goes by the number's shortest decimal form, which differs where the product is just a half.
+    """
+    return F.round(c * 10.0**places, 0) / 10.0**places
+
+
+def length(dx: Column, dy: Column) -> Column:
+    """Length of a vector by the root of its squares; unlike `hypot`, bit by bit what SQL computes but for its `pow`."""
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def box_iou(a: Box, b: Box) -> Column:
     """Intersection over union of two (x1, y1, x2, y2) boxes; 0 without overlap."""
     w = F.least(a[2], b[2]) - F.greatest(a[0], b[0])

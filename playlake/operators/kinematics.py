@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from playlake.functions import geometry
 from playlake.operators.predicates import TEMPORAL, is_usable
 
 TRACK = ["run_id", "track_id"]
@@ -39,6 +40,6 @@ def acceleration(samples: DataFrame, fps: float, most: float = 25.0) -> DataFram
     """
     at = Window.partitionBy(*TRACK).orderBy("frame_id")
     gap = F.col("frame_id") - F.lag("frame_id").over(at)
-    change = F.hypot(F.col("vx") - F.lag("vx").over(at), F.col("vy") - F.lag("vy").over(at)) * fps / gap
+    change = geometry.length(F.col("vx") - F.lag("vx").over(at), F.col("vy") - F.lag("vy").over(at)) * fps / gap
     s = samples.withColumn("a", F.coalesce(change, F.lit(0.0)))
-    return s.select(*TRACK, "frame_id", F.round(F.least("a", F.lit(most)), 6).alias("acceleration"), (F.col("a") > most).alias("clipped"))
+    return s.select(*TRACK, "frame_id", geometry.rounded(F.least("a", F.lit(most)), 6).alias("acceleration"), (F.col("a") > most).alias("clipped"))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from playlake.functions import geometry
-from playlake.operators import assignment, evidence, reports, routes
+from playlake.operators import assignment, evidence, kinematics, reports, routes
 from playlake.plans import all_queries, all_sql
 from playlake.sources import labels
 
@@ -141,3 +141,11 @@ def test_metrics_csv_guards_formulas(spark, tmp_path):
     labels.write_metrics_csv(spark.createDataFrame([("=1+1", None), ("ok", 2.0)], "metric string, value double").coalesce(1), str(tmp_path / "out"))
     text = next((tmp_path / "out").glob("*.csv")).read_text()
     assert text.splitlines() == ["metric,value", "'=1+1,", "ok,2.0"]
+
+
+def test_acceleration_rounds_as_sql_does(spark):
+    for vx, vy, wx, wy, gap in ((0.3606, 0.4808, 0.088425, 0.1179, 4), (0.04731, 0.06308000000000001, 0.168765, 0.22502, 4), (0.042945, 0.057260000000000005, 0.17697, 0.23596, 4)):
+        s = spark.createDataFrame([(0, 1, 0, vx, vy), (0, 1, gap, wx, wy)], "run_id int, track_id long, frame_id long, vx double, vy double")
+        got = kinematics.acceleration(s, 10.0).where("frame_id > 0").collect()[0]["acceleration"]
+        a = f"({vx}::DOUBLE - {wx}::DOUBLE), ({vy}::DOUBLE - {wy}::DOUBLE)".split(", ")
+        assert got == duckdb.sql(f"SELECT round(sqrt(pow({a[0]}, 2) + pow({a[1]}, 2)) * 10 / {gap}, 6)").fetchall()[0][0]
