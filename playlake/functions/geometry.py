@@ -109,11 +109,11 @@ def homography_jump(old: list[Column], new: list[Column], width: float, height:
 def propagate(j: tuple[Column, ...], cov: Cov, inflation: Column, floor: float) -> Cov:
     """J S J' * inflation^2 + floor^2 I of a symmetric (xx, xy, yy) covariance."""
     (a, b, c, d), (xx, xy, yy) = j, cov
-    k = inflation * inflation
+    k = inflation
     return (
-        (a * a * xx + 2 * a * b * xy + b * b * yy) * k + floor**2,
-        (a * c * xx + (a * d + b * c) * xy + b * d * yy) * k,
-        (c * c * xx + 2 * c * d * xy + d * d * yy) * k + floor**2,
+        (a * a * xx + 2 * a * b * xy + b * b * yy) * k * k + floor**2,
+        (a * c * xx + (a * d + b * c) * xy + b * d * yy) * k * k,
+        (c * c * xx + 2 * c * d * xy + d * d * yy) * k * k + floor**2,
     )
 
 
@@ -139,8 +139,8 @@ def footpoint_covariance(y1: Column, y2: Column, confidence: Column, extra_px: f
     scale = F.greatest(F.lit(0.5), F.greatest(F.lit(1.0), y2 - y1) / max(1.0, reference_height))
     sigma = (edge_px * scale + extra_px) * (1 + 1.5 * F.greatest(F.lit(0.0), 1 - confidence))
     sigma = F.greatest(F.lit(0.30), sigma)
-    across, correlation = sigma * 0.70, 0.20
-    return with_least_variance((across * across, across * sigma * correlation, sigma * sigma), 0.30**2 * 0.25)
+    # 0.70 as wide as high, with a correlation of 0.20; decimal factors keep values of few digits on theirs
+    return with_least_variance((0.49 * sigma * sigma, 0.14 * sigma * sigma, sigma * sigma), 0.30**2 * 0.25)
 
 
 def mahalanobis2(dx: Column, dy: Column, cov: Cov) -> Column:

@@ -73,7 +73,7 @@ def field_covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = projection.field_covariances(_footpoints(spark, sf_dir), _calibrations(spark, sf_dir))
     twice = geometry.inflate((F.col("cov_xx"), F.col("cov_xy"), F.col("cov_yy")), F.lit(2.0))
     made = made.withColumn("inflated_xx", twice[0]).select("run_id", "frame_id", "box_id", "pxx", "pxy", "pyy", "cov_xx", "cov_xy", "cov_yy", "inflated_xx", "sigma_major", "sigma_minor", "angle")
-    return _rounded(made, 6, *made.columns[3:])
+    return made.withColumns({n: geometry.rounded(F.col(n), 6) + 0.0 for n in made.columns[3:]})
 
 
 def image_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zipfile
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from playlake import domain
 from playlake.functions import geometry
 from playlake.operators import benchmarks, detections, projection, records, scoring
+from playlake.plans import image_queries
 from playlake.review import guarded, markdown_table, write_review
 
 SF = "/root/testdata/sf0.001"
@@ -144,3 +146,16 @@ def test_review_folder(spark, tmp_path):
     assert not (tmp_path / "q").exists()
     assert guarded(" =1") == "' =1" and guarded(2.0) == 2.0
     assert markdown_table(("a",), [{"a": "x|<y>\n"}, {"a": None}]).splitlines()[2:] == ["| x\\|&lt;y&gt;  |", "| Unavailable |"]
+
+
+def test_covariances_equal_sql_where_rounding_halves(spark, tmp_path):
+    # each k in turn, so with those boxes whose covariance in pixels is just half of the last place
+    events = f"SELECT * REPLACE ((event_id % 100)::BIGINT AS user_id, '{{\"k\": ' || event_id % 100 || '}}' AS props) FROM '{SF}/events.parquet' WHERE event_id < 1000"
+    duckdb.sql(f"COPY ({events}) TO '{tmp_path}/events.parquet'")
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    columns = "run_id, frame_id, box_id, pxx, pxy, pyy, cov_xx, cov_xy, cov_yy, inflated_xx, sigma_major, sigma_minor, angle"
+    theirs = {r[:3]: r[3:] for r in connection.sql(f"SELECT {columns} FROM ({image_queries.SQL['field_covariances']})").fetchall()}
+    ours = {tuple(r)[:3]: tuple(r)[3:] for r in image_queries.field_covariances(spark, str(tmp_path)).select(*columns.split(", ")).collect()}
+    assert len(ours) > 100
+    assert ours == theirs
