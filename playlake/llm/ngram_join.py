@@ -206,9 +206,13 @@ def over_lists(postings: DataFrame, **values: Column) -> DataFrame:
     return cool.unionByName(hot.join(lists, ["gram", "salt"]).select(*cool.columns))
 
 
+_NODE_SETS = "node long, parts int, is_b boolean, grams binary"
+
+
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["node", "parts", "is_b", "grams"]
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([gram_set(t.as_py()).tobytes() for t in batch.column("text").cast(pa.binary())], pa.binary())], names=["node", "grams"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), pa.array([gram_set(t.as_py()).tobytes() for t in batch.column("text").cast(pa.binary())], pa.binary())], names=names)
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,12 +259,13 @@ class _Join:
     def verify(self, pairs: DataFrame) -> None:
         """Add the links among distinct `pairs` (a, b), and update the components."""
         pairs = self.scratch.save(pairs, f"pairs-{self.round}")
-        sets = self.sets_for(pairs)
-        hot = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS).select("a", F.ceil(F.col("n") / PARTNERS).cast("int").alias("parts"))
+        partners = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+        sets = self.sets_for(pairs, partners)
+        hot = partners.where("parts > 1")
         dealt = pairs.join(hot, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0)).alias("part"))
-        left = sets.withColumnsRenamed({"node": "a", "grams": "left"}).join(pairs.select("a").distinct(), "a", "left_semi").join(hot, "a", "left")
-        left = left.select("a", "left", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-        right = sets.withColumnsRenamed({"node": "b", "grams": "right"})
+        # a set goes to an exchange only on the sides of pairs where it stands, and once on each
+        left = sets.where("parts is not null").select(F.col("node").alias("a"), F.col("grams").alias("left"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        right = sets.where("is_b").select(F.col("node").alias("b"), F.col("grams").alias("right"))
         found = dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "left", "right").mapInArrow(_links, "a long, b long")
         # earlier links matter by their components only
         found = self.scratch.save(found, f"links-{self.round}")
@@ -271,16 +276,20 @@ class _Join:
         self.round += 1
 
     def texts_of(self, nodes: DataFrame) -> DataFrame:
-        """(row key, text) of some nodes."""
+        """Some nodes, with their columns and texts."""
         if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
             nodes = F.broadcast(nodes)
-        return self.rows.join(nodes, self.rows[ROW] == nodes["node"]).select(ROW, "text")
+        return self.rows.join(nodes, self.rows[ROW] == nodes["node"]).select(*nodes.columns, "text")
+
+    def sets_for(self, pairs: DataFrame, partners: DataFrame) -> DataFrame:
+        """Sets of the nodes that occur in pairs, made from their texts anew.
 
-    def sets_for(self, pairs: DataFrame) -> DataFrame:
-        """(node, grams) of the nodes that occur in pairs, made from their texts anew."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = self.texts_of(nodes).withColumnRenamed(ROW, "node")
-        return self.scratch.save(texts.mapInArrow(_sets_of, "node long, grams binary"), f"sets-{self.round}")
+        `parts` is how many parts a node's partners are dealt to where it comes first in a pair, else NULL; `is_b` is whether it comes second.
+        """
+        first = partners.select(F.col("a").alias("node"), "parts", F.lit(False).alias("is_b"))
+        second = pairs.select(F.col("b").alias("node"), F.lit(None).cast("int").alias("parts"), F.lit(True).alias("is_b"))
+        nodes = first.union(second).groupBy("node").agg(F.max("parts").alias("parts"), F.max("is_b").alias("is_b"))
+        return self.scratch.save(self.texts_of(nodes).mapInArrow(_sets_of, _NODE_SETS), f"sets-{self.round}")
 
     def open_lists(self, name: str) -> None:
         """Give postings their components, keep lists of two or more, and name each list's pivot."""

@@ -441,3 +441,12 @@ def test_long_chain(spark):
     made = chat.format_trees(spark, chat.linear_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
     turns = made.select(chat.read_turns(F.col("formatted")).alias("t")).collect()[0]["t"]
     assert [t["text"] for t in turns] == [str(t) for t in range(75)]
+
+
+def test_only_sets_of_a_side_go_to_its_exchange(spark, tmp_path):
+    rows = _documents(spark, [(i, _prose(i, 30)) for i in range(6)]).withColumn(scratch.ROW, F.col("doc_id")).select(scratch.ROW, "doc_id", "text")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (2, 3)], "a long, b long")
+    partners = spark.createDataFrame([(0, 3), (2, 1)], "a long, parts int")
+    sets = ngram_join._Join(scratch.Scratch(spark, "test"), rows, None).sets_for(pairs, partners).collect()
+    assert sorted((r["node"], r["parts"], r["is_b"]) for r in sets) == [(0, 3, False), (1, None, True), (2, 1, True), (3, None, True)]
+    assert all(bytes(r["grams"]) == ngram_join.gram_set(_prose(r["node"], 30).encode()).tobytes() for r in sets)
