@@ -32,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from playlake.llm.scratch import ROW, Scratch, partitions_for, with_row
+from playlake.llm.scratch import ROW, Scratch, partitions_for, small_batches, with_row
 
 WINDOW = 2048
 END_ID = 1
 #: Residual lengths are counted in classes of so many tokens.
 QUANTUM = 8
-#: Units that a worker's token cache may hold before it starts afresh.
-CACHE_UNITS = 700_000
+#: Units that a worker's token cache may hold before it starts afresh: a hash table of 2^19 places at two thirds.
+#: Longer units, which seldom come again, are not kept, so the cache's memory doesn't depend on the texts.
+CACHE_UNITS = 349_000
+UNIT_CHARS = 32
 #: Pieces that a range of the ranking holds on average.
 RANGE_PIECES = 500_000
 
@@ -64,13 +66,15 @@ class UnitTokens(dict):
         self.marks = {m: encode(m) for m in ".,;:!?"}
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= CACHE_UNITS:
-            self.clear()
         mark = self.marks.get(unit[-1])
         if mark is not None and unit[-2:-1].isalpha():  # letters and a lone mark are separate tokens
-            value = self[unit] = self[unit[:-1]] + mark
+            value = self[unit[:-1]] + mark
         else:
-            value = self[unit] = self.encode(unit if unit[0] == "\n" else " " + unit)
+            value = self.encode(unit if unit[0] == "\n" else " " + unit)
+        if len(unit) <= UNIT_CHARS:
+            if len(self) >= CACHE_UNITS:
+                self.clear()
+            self[unit] = value
         return value
 
 
@@ -139,8 +143,9 @@ def _pieces_of(path: str, window: int, end_id: int):
         encode = _tokenizers[path].encode
         for batch in batches:
             out: list[tuple] = []
-            for row, doc, text in zip(batch.column(ROW).to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = (encode(text.as_py()) if text.is_valid and len(text.as_py()) else b"") + end
+            for row, doc, cell in zip(batch.column(ROW).to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                text = cell.as_py()
+                ids = (encode(text) if text else b"") + end
                 n = len(ids) // 4
                 for at in range(0, n, window):
                     cut = ids[4 * at : 4 * (at + window)]
@@ -283,7 +288,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, wi
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, n_classes.
     """
     scratch = Scratch(spark, "packing")
-    pieces = scratch.save(cut_documents(with_row(docs.select("doc_id", "text")), tokenizer_path, window, end_id), "pieces")
+    with small_batches(spark):
+        pieces = scratch.save(cut_documents(with_row(docs.select("doc_id", "text")), tokenizer_path, window, end_id), "pieces")
     classed = pieces.withColumn("class", F.ceil(F.col("length") / quantum))
     ranges = partitions_for(spark, pieces.count(), RANGE_PIECES)
     order = ["doc_id", "start", ROW]

@@ -11,7 +11,8 @@ import atexit
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,9 @@ _PATH, _AT, _FILE = "_row_path", "_row_at", "_row_file"
 FILE_ROWS = 1 << 40
 #: Row keys up to which they are broadcast.
 BROADCAST_KEYS = 1_000_000
+#: Whole texts that go to a Python worker at once.
+BATCH_TEXTS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -136,6 +140,22 @@ def drop_rows(spark: SparkSession, docs: DataFrame, choose: Callable[[DataFrame]
     return keyed.join(dropped, ROW, "left_anti").drop(ROW).withColumnRenamed(aside, ROW)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Hand texts to Python in small batches while something is written.
+
+    A batch stands in memory several times, in the executor and in its worker, and Spark's usual
+    10,000 texts may be the whole of a partition. Smaller batches that the session asks for stay.
+    """
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= BATCH_TEXTS:
+        spark.conf.set(_BATCH, str(BATCH_TEXTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def partitions_for(spark: SparkSession, items: int, per_partition: int) -> int:
     """As many partitions as bring each to about `per_partition` items, and the session's at least."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,6 +7,7 @@ import zlib
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -443,6 +444,24 @@ def test_long_chain(spark):
     assert [t["text"] for t in turns] == [str(t) for t in range(75)]
 
 
+def test_packing_keeps_no_long_units_and_small_batches(spark, tmp_path):
+    tokenizer = packing.Tokenizer(queries.tokenizer_path())
+    blobs = ["".join(random.Random(i).choices("abcdefghij", k=5_000)) for i in range(20)]
+    text = "some words, and " + ", ".join(blobs) + " and more"
+    assert tokenizer.encode(text) == np.array(tokenizer.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert sum(map(len, tokenizer.units)) < 1_000
+    # no batch of texts is larger than asked for, and the session's own setting is back afterwards
+    key, path = "spark.sql.execution.arrow.maxRecordsPerBatch", str(tmp_path / "docs")
+    _documents(spark, [(i, f"text {i}") for i in range(1_200)]).write.parquet(path)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    before = spark.conf.get(key)
+    with scratch.small_batches(spark):
+        got = [r["n"] for r in spark.read.parquet(path).select("text").mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 1_200
+    assert max(got) <= 500
+    assert spark.conf.get(key) == before
+
+
 def test_only_sets_of_a_side_go_to_its_exchange(spark, tmp_path):
     rows = _documents(spark, [(i, _prose(i, 30)) for i in range(6)]).withColumn(scratch.ROW, F.col("doc_id")).select(scratch.ROW, "doc_id", "text")
     pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (2, 3)], "a long, b long")
