@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlake.llm.fuse_filter import FuseFilter
-from playlake.llm.scratch import ROW, Scratch, drop_rows, with_row
+from playlake.llm.scratch import ROW, Scratch, drop_rows, small_batches, with_row
+from playlake.llm.textkit import tidied
 
 #: Distinct digests that a bucket holds on average; bounds the memory of one filter.
 BUCKET_KEYS = 100_000
@@ -52,7 +53,7 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def digest_documents(docs: DataFrame) -> DataFrame:
     """(row key, doc_id, digest, n_bytes, key) of each row; key is the digest's first 64 bits."""
     return docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _digest_batches, f"{ROW} long, doc_id long, digest binary, n_bytes long, key long"
+        tidied(_digest_batches), f"{ROW} long, doc_id long, digest binary, n_bytes long, key long"
     )
 
 
@@ -128,7 +129,8 @@ def dedup_rows(spark: SparkSession, keyed: DataFrame) -> DataFrame:
     """`exact_dedup` of rows that have their keys."""
     scratch = Scratch(spark, "exact-dedup")
     docs = keyed.select(ROW, "doc_id", "text")
-    digests = scratch.save(digest_documents(docs), "digests")
+    with small_batches(spark):
+        digests = scratch.save(digest_documents(docs), "digests")
     is_new = F.pmod(F.xxhash64("doc_id"), F.lit(BATCH_SHARES)) == 0
     snapshot = Snapshot.build(digests.where(~is_new), scratch)
     matched = match_batch(snapshot, digests.where(is_new))

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from playlake.llm.scratch import ROW, Scratch, drop_rows, small_batches
+from playlake.llm.textkit import tidied
 from playlake.shipping import ship_package
 
 UNKNOWN = "und"
@@ -236,7 +238,7 @@ def sample_rows(labelled: DataFrame) -> list[Counted]:
         counts = F.broadcast(counts)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     rows = labelled.join(counts, "lang").where(draw * F.col("n") < per).select("text", "lang")
-    taken = rows.mapInArrow(_count_batches, "ids binary, counts binary, lang string, check long").collect()
+    taken = rows.mapInArrow(tidied(_count_batches), "ids binary, counts binary, lang string, check long").collect()
     return [(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["counts"], np.uint32), r["lang"], r["check"]) for r in taken]
 
 
@@ -267,7 +269,7 @@ def predict_languages(spark: SparkSession, rows: DataFrame, model: Model) -> Dat
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return rows.mapInArrow(_predict_batches(shared), schema)
+    return rows.mapInArrow(tidied(_predict_batches(shared)), schema)
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -279,7 +281,11 @@ def identify_languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def drop_rejected(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """`docs` without the texts that the model rejects; all columns stay, whatever their names."""
-    made, taken = ("lang_pred", "score", "rejected"), set(docs.columns)
-    aside = {c: next(n for i in range(len(taken) + 1) if (n := f"_{c}_{i}") not in taken) for c in made if c in taken}
-    rows = predict_languages(spark, docs.withColumnsRenamed(aside), fit_model(docs)).where(~F.col("rejected"))
-    return rows.drop(*made).withColumnsRenamed({v: k for k, v in aside.items()})
+    model = fit_model(docs)
+
+    def rejected(keyed: DataFrame) -> DataFrame:
+        # texts go to Python in small batches, and only keys come back
+        with small_batches(spark):
+            return Scratch(spark, "langid").save(predict_languages(spark, keyed.select(ROW, "text"), model).where("rejected").select(ROW), "rejected")
+
+    return drop_rows(spark, docs, rejected)

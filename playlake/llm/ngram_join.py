@@ -43,8 +43,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from playlake.llm.components import components
-from playlake.llm.scratch import BROADCAST_KEYS, ROW, Scratch, drop_rows, with_row
-from playlake.llm.textkit import grams, hashes_of, mix
+from playlake.llm.scratch import BROADCAST_KEYS, ROW, Scratch, drop_rows, small_batches, with_row
+from playlake.llm.textkit import grams, hashes_of, mix, tidied
 
 WORDS = 5
 PERCENT = 80
@@ -86,7 +86,7 @@ _SETS = f"{ROW} long, doc_id long, n long, sig_a long, sig_b long, task int, blo
 
 
 def _describe(bits: int):
-    return lambda batches: _described(batches, bits)
+    return tidied(lambda batches: _described(batches, bits))
 
 
 def _described(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,7 @@ def _post(shared):
                 names=["gram", "node", "n", "place", "salt"],
             )
 
-    return run
+    return tidied(run)
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ class _Join:
         # a set goes to an exchange only on the sides of pairs where it stands, and once on each
         left = sets.where("parts is not null").select(F.col("node").alias("a"), F.col("grams").alias("left"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         right = sets.where("is_b").select(F.col("node").alias("b"), F.col("grams").alias("right"))
-        found = dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "left", "right").mapInArrow(_links, "a long, b long")
+        found = dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "left", "right").mapInArrow(tidied(_links), "a long, b long")
         # earlier links matter by their components only
         found = self.scratch.save(found, f"links-{self.round}")
         self.scratch.drop(f"pairs-{self.round}", f"sets-{self.round}")
@@ -289,7 +289,7 @@ class _Join:
         first = partners.select(F.col("a").alias("node"), "parts", F.lit(False).alias("is_b"))
         second = pairs.select(F.col("b").alias("node"), F.lit(None).cast("int").alias("parts"), F.lit(True).alias("is_b"))
         nodes = first.union(second).groupBy("node").agg(F.max("parts").alias("parts"), F.max("is_b").alias("is_b"))
-        return self.scratch.save(self.texts_of(nodes).mapInArrow(_sets_of, _NODE_SETS), f"sets-{self.round}")
+        return self.scratch.save(self.texts_of(nodes).mapInArrow(tidied(_sets_of), _NODE_SETS), f"sets-{self.round}")
 
     def open_lists(self, name: str) -> None:
         """Give postings their components, keep lists of two or more, and name each list's pivot."""
@@ -344,6 +344,11 @@ def similarity_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def classes_of_rows(spark: SparkSession, keyed: DataFrame) -> DataFrame:
     """`similarity_classes` of rows that have their keys."""
+    with small_batches(spark):  # of texts, and of pairs with their sets; the result reads written tables
+        return _classes(spark, keyed)
+
+
+def _classes(spark: SparkSession, keyed: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "ngram-join")
     rows = keyed.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits = sketch_bits(rows.count())

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from playlake.llm.scratch import ROW, Scratch, partitions_for, small_batches, with_row
+from playlake.llm.textkit import tidied, worker_cache
 
 WINDOW = 2048
 END_ID = 1
@@ -131,16 +132,22 @@ class Tokenizer:
         return self.encode_plain(units[0]) + b"".join(map(self.units.__getitem__, units[1:]))
 
 
-_tokenizers: dict[str, Tokenizer] = {}
+_tokenizers: dict[str, Tokenizer] = worker_cache("tokenizers")
+
+
+def _tokenizer(path: str) -> Tokenizer:
+    """The worker's tokenizer; not within what is pickled, which has a copy of the cache in each task."""
+    if path not in _tokenizers:
+        _tokenizers[path] = Tokenizer(path)
+    return _tokenizers[path]
 
 
 def _pieces_of(path: str, window: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _tokenizers:
-            _tokenizers[path] = Tokenizer(path)
-        encode = _tokenizers[path].encode
+        tokenizer = _tokenizer(path)
+        encode = tokenizer.encode
         for batch in batches:
             out: list[tuple] = []
             for row, doc, cell in zip(batch.column(ROW).to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -153,8 +160,9 @@ def _pieces_of(path: str, window: int, end_id: int):
             columns = list(zip(*out, strict=True)) or [[]] * 6
             names = [ROW, "doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+        tokenizer.units.clear()
 
-    return run
+    return tidied(run, "tokenizers")
 
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -304,7 +312,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, wi
         offsets[(part, c)] = histogram.get(c, 0)
         histogram[c] = histogram.get(c, 0) + n
     lookup = _lookup(plan_packing(histogram, window // quantum))
-    placed = ranked.mapInArrow(_place(lookup, offsets), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long")
+    placed = ranked.mapInArrow(tidied(_place(lookup, offsets)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long")
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     scratch.drop("pieces")
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("slot")

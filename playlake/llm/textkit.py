@@ -6,7 +6,12 @@ Words come from ``bytes.split()``, whose separators are exactly U+0009..U+000D a
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Entries that a worker's word cache may hold before it starts afresh.
@@ -35,6 +40,41 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+Batches = Iterator[pa.RecordBatch]
+_caches: dict[str, dict] = {"words": _words}
+
+
+def worker_cache(name: str) -> dict:
+    """What an operator keeps in a worker from one task to the next; tasks of other operators empty it."""
+    return _caches.setdefault(name, {})
+
+
+def give_back(own: str = "") -> None:
+    """Return a worker's memory to the system, all but the cache named `own`.
+
+    Workers outlive the operator that used them, and Arrow's pool and the C library hold on to freed memory.
+    """
+    for name, cache in _caches.items():
+        if name != own:
+            cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc only
+        trim(0)
+
+
+def tidied(run: Callable[[Batches], Batches], own: str = "") -> Callable[[Batches], Batches]:
+    """`run`, after which the worker gives its memory back at the end of each task."""
+
+    def over(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back(own)
+
+    return over
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser that spreads every bit of 64-bit values (splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -469,3 +469,28 @@ def test_only_sets_of_a_side_go_to_its_exchange(spark, tmp_path):
     sets = ngram_join._Join(scratch.Scratch(spark, "test"), rows, None).sets_for(pairs, partners).collect()
     assert sorted((r["node"], r["parts"], r["is_b"]) for r in sets) == [(0, 3, False), (1, None, True), (2, 1, True), (3, None, True)]
     assert all(bytes(r["grams"]) == ngram_join.gram_set(_prose(r["node"], 30).encode()).tobytes() for r in sets)
+
+
+def test_stages_send_small_batches_and_their_workers_keep_nothing(spark, tmp_path, monkeypatch):
+    textkit.hashes_of([b"word"])
+    assert list(textkit.tidied(lambda batches: batches)(iter(()))) == []
+    assert not textkit._words
+    # whatever a stage sends to Python is written by itself, in batches that the session doesn't keep
+    key, path, asked, save = "spark.sql.execution.arrow.maxRecordsPerBatch", str(tmp_path / "docs"), [], scratch.Scratch.save
+    in_python = lambda df: "MapInArrow" in df._jdf.queryExecution().toString()
+
+    def watched(self, df, name):
+        if in_python(df):
+            asked.append(int(spark.conf.get(key)))
+        return save(self, df, name)
+
+    _documents(spark, [(i, _prose(i % 7, 30)) for i in range(8)]).write.parquet(path)
+    before = spark.conf.get(key)
+    monkeypatch.setattr(scratch.Scratch, "save", watched)
+    for stage in (langid.drop_rejected, exact_dedup.drop_copies, ngram_join.drop_near_copies):
+        asked.clear()
+        out = stage(spark, spark.read.parquet(path))
+        assert asked
+        assert max(asked) <= scratch.BATCH_TEXTS
+        assert not in_python(out)
+        assert spark.conf.get(key) == before
